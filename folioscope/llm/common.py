@@ -65,6 +65,13 @@ def text_key() -> list[Column]:
 TEXT_KEY = [f"{OWN}k", f"{OWN}k2"]
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 of a string column, null as empty. bytes.split() then splits on 0x20 and 0x09-0x0D exactly."""
     return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]

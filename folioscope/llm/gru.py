@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, as_bytes, staged, table, text_key
+from .common import TEXT_KEY, as_bytes, slices, staged, table, text_key
 
 #: Words with a count of their own in every task; rarer ones are joined. A bound, not a share.
 TABLE = 100_000
@@ -23,7 +23,7 @@ HIDDEN = 24
 WINDOW, CHUNK, EVERY, LANES = 32, 128, 8, 64
 RATE = 4e-3
 #: Lanes and tokens held at a time when scoring.
-SCORE_LANES, SCORE_TOKENS = 256, 1_000_000
+SCORE_LANES, SCORE_TOKENS = 256, 500_000
 
 HEAD_CLASSES = HEAD // MEMBERS
 RARE_CLASS, END_CLASS = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES + TAIL_CLASSES + 1
@@ -71,7 +71,7 @@ class Vocabulary:
         if self.index is None:
             self.index = {h: i for i, h in enumerate(self.hashes.tolist())}
         memo, index, n = self.memo, self.index, self.n
-        if len(memo) > 400_000:
+        if len(memo) > 250_000:
             memo.clear()
         for w in set(words).difference(memo):
             memo[w] = index.get(word_hash(w), n)
@@ -297,12 +297,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words.clear()
             return rows
 
-        for b in batches:
+        for b in slices(batches):
             for text, held in zip(as_bytes(b, "text"), b.column("held_out").to_pylist()):
                 if not held:
                     ends += 1
                     words.update(text.lower().split())
-                    if len(words) > 600_000:
+                    if len(words) > 300_000:
                         yield out()
         yield out()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([ends], pa.int64())], names=["h", "c"])
@@ -329,18 +329,19 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
     def run(batches):
         net = Network(start.flat.copy())
         optimiser, seen, at = Adam(net), 0, 0
-        for b in batches:
+        parts, size = [], 0
+
+        def use():
+            nonlocal parts, size, at, seen
+            stream = np.concatenate(parts)
+            rows = stream[:len(stream) // CHUNK * CHUNK].reshape(-1, CHUNK)
+            picked = rows[(-at) % EVERY::EVERY]
+            at += len(rows)
+            seen += picked.size
+            train_on(net, picked, v, optimiser)
             parts, size = [], 0
 
-            def use():
-                nonlocal at, seen
-                stream = np.concatenate(parts)
-                rows = stream[:len(stream) // CHUNK * CHUNK].reshape(-1, CHUNK)
-                picked = rows[(-at) % EVERY::EVERY]
-                at += len(rows)
-                seen += picked.size
-                train_on(net, picked, v, optimiser)
-
+        for b in slices(batches):
             for text, held in zip(as_bytes(b, "text"), b.column("held_out").to_pylist()):
                 if held:
                     continue
@@ -348,9 +349,8 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
                 size += len(parts[-1])
                 if size > SCORE_TOKENS:
                     use()
-                    parts, size = [], 0
-            if parts:
-                use()
+        if parts:
+            use()
         if seen:
             yield pd.DataFrame({"i": np.arange(Network.SIZE), "w": net.flat.astype(np.float64) * seen, "n": np.full(Network.SIZE, float(seen))})
 
@@ -372,17 +372,17 @@ def scored(docs: DataFrame, v: Vocabulary, net: Network) -> DataFrame:
               ("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
     def run(batches):
-        for b in batches:
-            rows, docs_, ids, size = [], [], [], 0
+        rows, docs_, ids, size = [], [], [], 0
 
-            def flush():
-                nonlocal rows, docs_, ids, size
-                for (doc, held, k, k2), x, s in zip(docs_, ids, score_documents(net, ids, v)):
-                    rows.append((doc, held, k, k2, None, len(x), int(v.known[x].sum()), float(v.base[x[x != v.n]].sum()), float(s)))
-                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f[0] for f in fields])
-                rows, docs_, ids, size = [], [], [], 0
-                return out
+        def flush():
+            nonlocal rows, docs_, ids, size
+            for (doc, held, k, k2), x, s in zip(docs_, ids, score_documents(net, ids, v)):
+                rows.append((doc, held, k, k2, None, len(x), int(v.known[x].sum()), float(v.base[x[x != v.n]].sum()), float(s)))
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f[0] for f in fields])
+            rows, docs_, ids, size = [], [], [], 0
+            return out
 
+        for b in slices(batches):
             for doc, held, k, k2, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "held_out", *TEXT_KEY)], as_bytes(b, "text")):
                 words = text.lower().split()
                 x = v.ids(words)
@@ -393,8 +393,8 @@ def scored(docs: DataFrame, v: Vocabulary, net: Network) -> DataFrame:
                 size += len(ids[-1])
                 if size > SCORE_TOKENS:
                     yield flush()
-            if docs_:
-                yield flush()
+        if docs_:
+            yield flush()
 
     kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean"}
     return _prepared(docs).mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))

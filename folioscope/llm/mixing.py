@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, join_small, nullable_key, staged, table
+from .common import OWN, as_bytes, join_small, nullable_key, slices, staged, table
 
 #: Shares given to the sources in order of name, repeating.
 WEIGHTS = (3, 1, 2)
@@ -20,7 +20,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: words of each whole text (null: 0)."""
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([len(t.split()) for t in as_bytes(b, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), n], names=["doc_id", "source", "size"])
 
@@ -102,7 +102,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     names = docs.columns
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             t = b.schema.get_field_index("text")
             out = []
             for text, n in zip(as_bytes(b, "text"), b.column(f"{OWN}words").to_pylist()):
@@ -114,7 +114,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays(a, names=names)
 
     def size(batches):
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([len(x.split()) for x in as_bytes(b, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*names, f"{OWN}n"])
 

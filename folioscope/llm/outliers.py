@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, join_small, nullable_key, staged, table
+from .common import OWN, as_bytes, join_small, nullable_key, slices, staged, table
 
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Share of a group that the smallest-determinant subset holds, and its consistency factor for 4 dimensions:
@@ -71,7 +71,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [base_statistics(t) for t in as_bytes(b, "text")]
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("source"), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "lang", "source", *names])

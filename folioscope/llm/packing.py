@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, table
+from .common import as_text, slices, table
 
 TOKENS, SEGMENTS, END = 2048, 256, 1
 #: Items that wait at a time in a task; the next one to place is chosen among them.
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss:
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names=[*names, *["ids"] * ids])
 
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), as_text(b, "text")):
                 x = np.append(encode(text), np.uint32(END))
                 for bin_ in packer.add(doc, len(x), len(x), x):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, TEXT_KEY, as_text, join_small, staged, table, text_key
+from .common import OWN, TEXT_KEY, as_text, join_small, slices, staged, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that count as its company.
@@ -86,7 +86,7 @@ def company(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """entity, term, context: words around each mention; context is a hash of the window, so that copies count once."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in as_text(b, "text"):
                 spans = base_spans(text)
@@ -134,7 +134,7 @@ def occurrences(docs: DataFrame, bits: bytes, places: bool) -> DataFrame:
 
     def run(batches):
         memo: dict[str, bool] = {}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k, k2, text in zip(b.column(TEXT_KEY[0]).to_pylist(), b.column(TEXT_KEY[1]).to_pylist(), as_text(b, "text")):
                 low = text.lower()
@@ -145,7 +145,7 @@ def occurrences(docs: DataFrame, bits: bytes, places: bool) -> DataFrame:
                 for w in words:
                     ok = memo.get(w)
                     if ok is None:
-                        if len(memo) > 500_000:
+                        if len(memo) > 250_000:
                             memo.clear()
                         # str.split() cuts at more characters than the words here do: pieces only rule texts in
                         ok = memo[w] = _passes(bits, _hash(w.lower()))
@@ -193,7 +193,7 @@ def revealing_terms(docs: DataFrame, window: int = WINDOW, contexts: int = CONTE
 
 
 def _hashes(batches):
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_hash(t) for t in b.column("term").to_pylist()], pa.int64())], names=["h"])
 
 
@@ -241,7 +241,7 @@ def find_personal_data(docs: DataFrame, texts: bool = False, **how) -> DataFrame
     d = d.select(*names, "added")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text, more in zip(as_text(b, "text"), b.column("added").to_pylist()):
                 base = base_spans(text)

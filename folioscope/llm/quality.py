@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, join_small, nullable_key, staged, table
+from .common import OWN, as_bytes, join_small, nullable_key, slices, staged, table
 
 #: The document classifier is fitted on at most so many labelled rows, those of the smallest hashes.
 LABELLED = 20_000
@@ -70,7 +70,7 @@ def evidence(docs: DataFrame, model: tuple) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t) for t in as_bytes(b, "text")], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logits(x, model))], names=[*names, f"{OWN}z"])
 
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple |
     d = docs.select(F.col("doc_id").cast("long").alias(f"{OWN}id"), F.col("text").cast("string").alias("text"))
 
     def shapes(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [features(t) for t in as_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(b.column("y").to_pylist(), pa.float64())], names=["x", "y"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, staged, table
+from .common import as_bytes, slices, staged, table
 from .pii import FILTER_BITS, word_filter
 
 #: Shortest repeated string, and the prefix that positions are ranked by first; both doubled lengths of one unit.
@@ -129,7 +129,7 @@ def ranked_positions(docs: DataFrame, length: int, prefix: int) -> DataFrame:
     """rank (of the prefix at the chosen position), around (of all that its windows cover), k, place."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             parts = []
             for k, text in zip(b.column("k").to_pylist(), as_bytes(b, "text")):
                 for s, data in segments(text, length):
@@ -142,16 +142,17 @@ def ranked_positions(docs: DataFrame, length: int, prefix: int) -> DataFrame:
     return _keyed(docs).select("k", "text").mapInArrow(run, "rank long, around long, k long, place long")
 
 
-def in_filter(docs: DataFrame, bits: bytes, inside: bool) -> DataFrame:
-    """doc_id, k, text of the texts whose k is (or isn't) in a fixed-size filter: spares the others a shuffle."""
+def chosen(batches, bits: bytes, inside: bool):
+    """Rows whose k is (or isn't) in a fixed-size filter: spares the others a shuffle."""
+    table_ = np.frombuffer(bits, np.uint8)
+    for b in batches:
+        at = b.column("k").to_numpy() % FILTER_BITS
+        yield b.filter(pa.array((table_[at >> 3] >> (at & 7) & 1).astype(bool) == inside))
 
-    def run(batches):
-        table_ = np.frombuffer(bits, np.uint8)
-        for b in batches:
-            at = b.column("k").to_numpy() % FILTER_BITS
-            yield b.filter(pa.array((table_[at >> 3] >> (at & 7) & 1).astype(bool) == inside))
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text string, k long")
+def in_filter(docs: DataFrame, bits: bytes) -> DataFrame:
+    """doc_id, text, k of the texts whose k is in the filter."""
+    return _keyed(docs).mapInArrow(lambda batches: chosen(slices(batches), bits, True), "doc_id long, text string, k long")
 
 
 def _text_id(text: str = "text") -> Column:
@@ -162,10 +163,10 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int, prefix: int) -> Da
     """For wanted (rank, k, place, edge): with the bytes that the place's windows cover, and where the prefix stands in them."""
     bits = word_filter(wanted.select(F.col("k").alias("h")))
     lists = wanted.groupBy("k", F.shiftright("place", 40).alias("n")).agg(F.collect_list(F.struct("rank", "place", "edge")).alias("wanted"))
-    texts = in_filter(docs, bits, True).select("k", _text_id().alias("n"), "text").dropDuplicates(["k", "n"])
+    texts = in_filter(docs, bits).select("k", _text_id().alias("n"), "text").dropDuplicates(["k", "n"])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             for k, text, places in zip(b.column("k").to_pylist(), as_bytes(b, "text"), b.column("wanted").to_pylist()):
                 out = []
                 for w in places:
@@ -204,7 +205,7 @@ def repeated_windows(seen: DataFrame, length: int, prefix: int, group: int = GRO
     names = ["k", "n", "start", "end"]
 
     def within(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             rows = [(rank, m) for rank, ms in zip(b.column("rank").to_pylist(), b.column("of").to_pylist()) for m in ms]
             out = []
             if rows:
@@ -224,7 +225,7 @@ def repeated_windows(seen: DataFrame, length: int, prefix: int, group: int = GRO
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     def spread(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             rows = list(zip(b.column("rank").to_pylist(), b.column("bytes").to_pylist()))
             if not rows:
                 continue
@@ -291,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
         return [(s, e) for s, e in out]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             found = b.column("runs").to_pylist() if "runs" in b.schema.names else [None] * b.num_rows
             for doc, text, f in zip(b.column("doc_id").to_pylist(), as_bytes(b, "text"), found):
@@ -308,8 +309,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
 
     out_names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "spans"] * texts]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, end: long>>" * texts
-    clean = in_filter(docs, bits, False).select("doc_id", "text").mapInArrow(run, schema)
-    touched = in_filter(docs, bits, True).withColumn("n", _text_id()).join(runs, ["k", "n"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
+    clean = _keyed(docs).mapInArrow(lambda batches: run(chosen(slices(batches), bits, False)), schema)
+    touched = in_filter(docs, bits).withColumn("n", _text_id()).join(runs, ["k", "n"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
     return clean.union(touched)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, components, staged, table
+from .common import OWN, as_bytes, components, slices, staged, table
 
 SHINGLE, DISTANCE, PARTS = 3, 2, 3
 #: Buckets of up to so many fingerprints are compared inside; larger ones go through one-bit neighbours.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = pa.array([fingerprint(t, shingle) for t in as_bytes(b, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp], names=["doc_id", "fp"])
 
