@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import search, text
@@ -48,14 +48,16 @@ def parse(extracted: DataFrame) -> DataFrame:
     Metadata of the header wins over what is inferred, and that over what the format gave.
     """
 
-    @F.pandas_udf("header string, body string")
-    def front(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([front_matter(x or "") for x in t], columns=["header", "body"])
+    def split(batches):
+        for pdf in batches:
+            parts = [front_matter(t) for t in pdf["text"]]
+            body = [b.strip() for _, b in parts]
+            yield pdf[["source_path", "modificationTime", "metadata_json"]].assign(header=[h for h, _ in parts], content=[b or rendered(h) for b, (h, _) in zip(body, parts)])
 
-    d = extracted.where("text IS NOT NULL").withColumn("f", front("text")).withColumn("content", F.btrim(F.col("f.body"), F.lit(" \t\r\n\f\u000b")))
-    d = d.withColumn("content", F.when(F.col("content") == "", rendered("f.header")).otherwise(F.col("content"))).where("content <> ''")
+    d = extracted.where("text IS NOT NULL").select("source_path", "modificationTime", "metadata_json", "text")
+    d = d.mapInPandas(split, "source_path string, modificationTime timestamp, metadata_json string, header string, content string").where("content <> ''")
     name = F.element_at(F.split("source_path", "/"), -1)
-    head = lambda k: F.get_json_object("f.header", f"$.{k}")
+    head = lambda k: F.get_json_object("header", f"$.{k}")
     notes, who = text.note_fields(F.col("content")), text.speakers(F.col("content"))
     vtt = text.is_webvtt(F.col("content")) | (F.size(who) > 0)
     dated = text.labelled(F.col("content"), "date")
@@ -69,25 +71,21 @@ def parse(extracted: DataFrame) -> DataFrame:
         F.when(F.size(who) > 0, who).alias("speakers"), F.when(F.size(who) > 0, F.size(who)).alias("speaker_count"),
         F.when(vtt & F.contains(F.lower(name), F.lit("teams")), "microsoft_teams").alias("source_app")))
 
-    @F.pandas_udf("string")
-    def merged(a: pd.Series, b: pd.Series, c: pd.Series, title: pd.Series, ext: pd.Series) -> pd.Series:
-        out = []
-        for x, y, z, t, e in zip(a, b, c, title, ext):
-            m = {**json.loads(x or "{}"), **json.loads(y or "{}"), **json.loads(z or "{}")}
-            m.setdefault("title", t)
-            m.setdefault("extension", e)
-            out.append(json.dumps(m, ensure_ascii=False, sort_keys=True, default=str))
-        return pd.Series(out)
-
-    @F.pandas_udf("timestamp")
-    def when(value: pd.Series) -> pd.Series:
-        return value.map(_date)
+    def merged(batches):
+        for pdf in batches:
+            out = []
+            for x, y, z, t, e in zip(pdf["metadata_json"], pdf["inferred"], pdf["header"], pdf["title"], pdf["ext"]):
+                m = {**json.loads(x or "{}"), **json.loads(y or "{}"), **json.loads(z or "{}")}
+                m.setdefault("title", t)
+                m.setdefault("extension", e)
+                out.append(json.dumps(m, ensure_ascii=False, sort_keys=True, default=str))
+            when = pd.to_datetime(pdf["m_date"].map(_date)).fillna(pdf["fallback"])
+            yield pdf[["document_id", "source_path", "title", "content", "content_hash", "source_modified_at"]].assign(effective_at=when, metadata_json=out)
 
-    d = d.withColumn("title", text.title_of(F.col("m_title"), F.col("content"), F.col("stem")))
-    d = d.withColumn("effective_at", F.coalesce(when("m_date"), text.name_date(name), F.col("modificationTime")))
-    return d.select(F.sha2("source_path", 256).alias("document_id"), "source_path", "title", "content", F.sha2("content", 256).alias("content_hash"),
-                    F.col("modificationTime").alias("source_modified_at"), "effective_at",
-                    merged("metadata_json", inferred, "f.header", "title", F.lower(F.regexp_extract("source_path", r"(\.[^./]+)$", 1))).alias("metadata_json"))
+    d = d.select(F.sha2("source_path", 256).alias("document_id"), "source_path", text.title_of(F.col("m_title"), F.col("content"), F.col("stem")).alias("title"), "content", F.sha2("content", 256).alias("content_hash"),
+                 F.col("modificationTime").alias("source_modified_at"), F.coalesce(text.name_date(name), F.col("modificationTime")).alias("fallback"), "m_date", "metadata_json", inferred.alias("inferred"), "header",
+                 F.lower(F.regexp_extract("source_path", r"(\.[^./]+)$", 1)).alias("ext"))
+    return d.mapInPandas(merged, "document_id string, source_path string, title string, content string, content_hash string, source_modified_at timestamp, effective_at timestamp, metadata_json string")
 
 
 def _date(value):
@@ -118,14 +116,9 @@ def front_matter(t: str) -> tuple[str, str]:
     return json.dumps(loaded, ensure_ascii=False, default=str), t[m.end():]
 
 
-def rendered(header: str) -> Column:
+def rendered(header: str) -> str:
     """A header alone as text: key: value lines."""
-
-    @F.pandas_udf("string")
-    def run(h: pd.Series) -> pd.Series:
-        return h.map(lambda x: "\n".join(f"{k}: {', '.join(map(str, v)) if isinstance(v, list) else v}" for k, v in json.loads(x or "{}").items() if v not in (None, "")).strip())
-
-    return run(header)
+    return "\n".join(f"{k}: {', '.join(map(str, v)) if isinstance(v, list) else v}" for k, v in json.loads(header).items() if v not in (None, "")).strip()
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
