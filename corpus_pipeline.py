@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest doc_id."""
+    """One document of each group of near-duplicates (similarity 0.8 of 5-word shingles), the smallest doc_id."""
     return deduplicated(docs)
 
 

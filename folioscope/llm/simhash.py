@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 from .common import OWN, as_bytes, components, slices, staged, table
 
 SHINGLE, DISTANCE, PARTS = 3, 2, 3
+#: Near-duplicates by similarity: words a shingle and least Jaccard similarity.
+WIDE, SIMILAR = 5, 0.8
+#: Minima a band and bands. Texts of similarity 0.8 share a band with probability 0.9995. MORE minima split what is left of a bucket.
+BAND, BANDS, MORE = 6, 25, 16
 #: Buckets of up to so many fingerprints are compared inside; larger ones go through one-bit neighbours.
 BUCKET = 256
 
 _LANES = np.uint64(0x0101010101010101)
 
 
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
 def bit_majority(hashes: np.ndarray) -> int:
     """64-bit majority of uint64 hashes: a bit is 1 if set in over half of them."""
     n = len(hashes)
@@ -33,18 +41,22 @@ def bit_majority(hashes: np.ndarray) -> int:
     return int(sum(1 << (8 * lane + s) for s in range(8) for lane in range(8) if on[s, lane]))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a UTF-8 text, as a signed 64-bit integer: XXH64 (seed 42) of word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a UTF-8 text, repeats included; fewer words are one shingle, no words none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     h = xxhash.xxh64_intdigest
-    value = bit_majority(np.array([h(g, 42) for g in grams], np.uint64))
-    return value - (1 << 64) if value >> 63 else value
+    return np.array([h(g, 42) for g in grams], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a UTF-8 text, as a signed 64-bit integer."""
+    return _signed(bit_majority(shingle_hashes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -123,10 +135,6 @@ def part_value(bits: list[int]) -> F.Column:
     return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def _signed(v: int) -> int:
-    return v - (1 << 64) if v >> 63 else v
-
-
 def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all pairs within the distance.
 
@@ -206,9 +214,100 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return d.join(staged(named.join(lows, "label").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
+def minima(hashes: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Smallest value of the hashes under each odd multiplier, mod 2^64 (all ones for no hashes)."""
+    low = np.full(len(scales), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(low, (hashes[at : at + 1024, None] * scales).min(axis=0), out=low)
+    return low
+
+
+def signatures(docs: DataFrame, shingle: int = WIDE) -> DataFrame:
+    """doc_id, fp (SimHash), k and k2 (equal for equal shingle sets), n (different shingles), bands, more; no null doc_ids."""
+    scales = np.random.default_rng(7).integers(0, 1 << 63, BAND * BANDS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for i, t in zip(b.column("doc_id").to_pylist(), as_bytes(b, "text")):
+                every = shingle_hashes(t, shingle)
+                one = np.unique(every)
+                low = minima(one, scales)
+                bands = [_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in low[: BAND * BANDS].reshape(BANDS, BAND)]
+                whole = xxhash.xxh3_128_digest(one.tobytes())
+                k, k2 = np.frombuffer(whole, np.int64).tolist()
+                rows.append((i, _signed(bit_majority(every)), k, k2, len(one), bands, low[BAND * BANDS :].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+
+    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(run, "doc_id long, fp long, k long, k2 long, n long, bands array<long>, more array<long>")
+
+
+def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE) -> DataFrame:
+    """a, b, ok: whether the texts of doc_ids a and b share so much of their shingle sets (Jaccard), counted exactly."""
+
+    def run(batches):
+        last, held = None, None
+        for b in slices(batches, 64):
+            ok = []
+            for ta, tb in zip(as_bytes(b, "ta"), as_bytes(b, "tb")):
+                if ta != last:
+                    last, held = ta, np.unique(shingle_hashes(ta, shingle))
+                other = np.unique(shingle_hashes(tb, shingle))
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                ok.append(both >= similarity * (len(held) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    need = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).join(need, "id", "left_semi").distinct()
+    texts = staged(texts)
+    pairs = edges.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+
+
+def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE) -> DataFrame:
+    """node, component_id: a row for each different shingle set, node the smallest doc_id that has it.
+
+    Candidates share a SimHash class (fingerprints linked within 2 bits by generalised
+    pigeonhole) or a band of minima: at similarity 0.8 fingerprints of 64 bits differ in about
+    10, which no partition of them can select. Each bucket's members are compared with its
+    smallest member, on whole shingle sets; members that it does not resemble go on with one
+    more minimum in their key until no bucket has two. So no bucket emits all its pairs.
+    Nulls: a null text is empty, texts without words are alike; null doc_ids take no part.
+    Two texts under one doc_id count as linked. Empty tables give none; extra columns are not read.
+    """
+    d = staged(signatures(docs, shingle))
+    first = [F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "bands", "more"))]
+    nodes = staged(d.groupBy("k", "k2").agg(F.min("doc_id").alias("node"), *first))
+    classes = components(links(staged(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "label")
+    left = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    left = left.unionByName(nodes.join(classes, "fp", "left").select("node", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key")))
+    decided = None
+    for k in range(MORE + 1):
+        hubs = left.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+        rows = staged(left.join(hubs, ["band", "key"]).select("band", "key", "node", "n", F.col("hub.node").alias("a"), F.col("hub.n").alias("an")).where("node <> a"))
+        if rows.isEmpty():
+            break
+        edges = rows.where(F.least("n", "an") >= similarity * F.greatest("n", "an")).select("a", F.col("node").alias("b")).distinct()
+        if decided is not None:
+            edges = edges.join(decided, ["a", "b"], "left_anti")
+        new = staged(verified(staged(edges), docs, similarity, shingle))
+        decided = new if decided is None else decided.union(new)
+        if k == MORE:
+            break
+        linked = decided.where("ok").select("a", F.col("b").alias("node"))
+        more = nodes.select("node", F.col("more")[k].alias("m"))
+        left = staged(rows.join(linked, ["a", "node"], "left_anti").join(more, "node").select(F.xxhash64("key", "m").alias("key"), "band", "node", "n").distinct())
+    if decided is None:
+        return nodes.select("node", F.col("node").alias("component_id"))
+    labels = components(decided.where("ok").select("a", "b"))
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component_id"))
+
+
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (all rows of a null id)."""
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias(f"{OWN}id")).distinct()
+    """One document of each group of similar(): the one with the smallest doc_id (all rows of a null id, same texts once)."""
+    kept = staged(similar(docs, **how).where("node = component_id").select(F.col("node").alias(f"{OWN}id")).distinct())
     first = docs.withColumn(f"{OWN}d", F.col("doc_id").cast("long"))
     out = first.join(kept, F.col(f"{OWN}d") == F.col(f"{OWN}id"), "left_semi").unionByName(first.where(F.col(f"{OWN}d").isNull()))
     return out.dropDuplicates([f"{OWN}d", "text"]).select(*docs.columns)

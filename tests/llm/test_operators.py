@@ -280,3 +280,37 @@ def test_gradients():
         down = loss()
         net.p[name][at] = old
         assert grad[name][at] == pytest.approx((up - down) / 2e-2, rel=0.08, abs=2e-4), name
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 40, 150, 400]))]
+        texts.append(" ".join(words))
+        for rate in (0, 0.005, 0.02, 0.05):
+            texts.append(" ".join(w if rng.random() >= rate else "other" for w in words))
+    hot = [f"h{i}" for i in range(200)]
+    texts += [" ".join(hot[:i] + [f"edit{i}"] + hot[i + 1 :]) for i in range(100)]  # a large group of near copies
+    texts += [None, "", " \n", "ONE two", "one  TWO"]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = sorted(i for i in range(len(texts)) if find(i) == i)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x"), (0, texts[0], "x")], "doc_id long, text string, fp string").repartition(4)
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == want
+    assert simhash.deduplicated(df.where("false")).count() == 0
