@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, TEXT_KEY, as_text, join_small, slices, staged, table, text_key
+from .common import OWN, TEXT_KEY, as_bytes, as_text, join_small, slices, staged, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that count as its company.
@@ -133,35 +133,28 @@ def occurrences(docs: DataFrame, bits: bytes, places: bool) -> DataFrame:
     """Texts (by key) and the words in them that pass the filter: term, and start and end if places, else a row a term."""
 
     def run(batches):
-        memo: dict[str, bool] = {}
+        seen: set[bytes] = set()
+        held: dict[bytes, str] = {}  # words that pass, and their terms
         for b in slices(batches):
             rows = []
-            for k, k2, text in zip(b.column(TEXT_KEY[0]).to_pylist(), b.column(TEXT_KEY[1]).to_pylist(), as_text(b, "text")):
-                low = text.lower()
-                if len(low) != len(text):  # a few capitals change length; word by word then
-                    low = None
-                words = set((low if low is not None else text).split())
-                found = set()
-                for w in words:
-                    ok = memo.get(w)
-                    if ok is None:
-                        if len(memo) > 250_000:
-                            memo.clear()
-                        # str.split() cuts at more characters than the words here do: pieces only rule texts in
-                        ok = memo[w] = _passes(bits, _hash(w.lower()))
-                    if ok:
-                        found.add(w.lower())
-                if not found and text.isascii():
+            for k, k2, text in zip(b.column(TEXT_KEY[0]).to_pylist(), b.column(TEXT_KEY[1]).to_pylist(), as_bytes(b, "text")):
+                words = set(text.split())
+                if len(seen) > 250_000:
+                    seen.clear()
+                    held.clear()
+                for w in words.difference(seen):
+                    low = w.decode().lower()
+                    if _passes(bits, _hash(low)):
+                        held[w] = low
+                seen |= words
+                found = words.intersection(held)
+                if not found:
                     continue
-                seen = set()
-                for m in _WORD.finditer(text):
-                    w = m[0].lower()
-                    if w in found or not w.isascii() and _passes(bits, _hash(w)):
-                        if places:
-                            rows.append((k, k2, w, m.start(), m.end()))
-                        elif w not in seen:
-                            seen.add(w)
-                            rows.append((k, k2, w, 0, 0))
+                if not places:
+                    rows += [(k, k2, t, 0, 0) for t in {held[w] for w in found}]
+                    continue
+                terms = {w.decode(): held[w] for w in found}
+                rows += [(k, k2, terms[m[0]], m.start(), m.end()) for m in _WORD.finditer(text.decode()) if m[0] in terms]
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[*TEXT_KEY, "term", "s", "e"])
