@@ -15,8 +15,11 @@ from .common import OWN, as_bytes, components, slices, staged, table
 SHINGLE, DISTANCE, PARTS = 3, 2, 3
 #: Near-duplicates by similarity: words a shingle and least Jaccard similarity.
 WIDE, SIMILAR = 5, 0.8
-#: Minima a band and bands. Texts of similarity 0.8 share a band with probability 0.9995. MORE minima split what is left of a bucket.
-BAND, BANDS, MORE = 6, 25, 16
+#: Minima a band and bands. Texts of similarity 0.8 share a band with probability 0.9995.
+BAND, BANDS = 6, 25
+#: Members a block of a bucket, and residue classes in which a text's shingles are counted.
+BLOCK, CLASSES = 256, 256
+BUCKET_KEY = ["band", "key", "i", "j"]
 #: Buckets of up to so many fingerprints are compared inside; larger ones go through one-bit neighbours.
 BUCKET = 256
 
@@ -223,9 +226,9 @@ def minima(hashes: np.ndarray, scales: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = WIDE) -> DataFrame:
-    """doc_id, fp (SimHash), k and k2 (equal for equal shingle sets), n (different shingles), bands, more; no null doc_ids."""
-    scales = np.random.default_rng(7).integers(0, 1 << 63, BAND * BANDS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))])
+    """doc_id, fp (SimHash), k and k2 (equal for equal shingle sets), n (different shingles), bands, sketch (shingles by residue class); no null doc_ids."""
+    scales = np.random.default_rng(7).integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         for b in slices(batches):
@@ -234,14 +237,14 @@ def signatures(docs: DataFrame, shingle: int = WIDE) -> DataFrame:
                 every = shingle_hashes(t, shingle)
                 one = np.unique(every)
                 low = minima(one, scales)
-                bands = [_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in low[: BAND * BANDS].reshape(BANDS, BAND)]
+                bands = [_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in low.reshape(BANDS, BAND)]
                 whole = xxhash.xxh3_128_digest(one.tobytes())
                 k, k2 = np.frombuffer(whole, np.int64).tolist()
-                rows.append((i, _signed(bit_majority(every)), k, k2, len(one), bands, low[BAND * BANDS :].view(np.int64).tolist()))
+                rows.append((i, _signed(bit_majority(every)), k, k2, len(one), bands, np.bincount(one & np.uint64(CLASSES - 1), minlength=CLASSES).astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
 
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long, k long, k2 long, n long, bands array<long>, more array<long>")
+    return d.mapInArrow(run, "doc_id long, fp long, k long, k2 long, n long, bands array<long>, sketch binary")
 
 
 def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE) -> DataFrame:
@@ -266,42 +269,103 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shi
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
-def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE) -> DataFrame:
+def unlinked(left: DataFrame, nodes: DataFrame, labels: DataFrame, decided: DataFrame, most: int, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket but different labels, not decided yet, that can be so similar.
+
+    Two sets share at most the sum of the lesser of their counts by residue class, so no pair
+    that is left out is similar. Buckets are compared in pairs of blocks; in each, the `most` likeliest pairs of
+    two labels are given.
+    """
+    named = nodes.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    missed = decided.where("NOT ok").groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("missed"))
+    rows = left.select("band", "key", "node").distinct().join(named.select("node", "label"), "node")
+    mixed = rows.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c")).where("l < h")
+    rows = rows.join(mixed.select("band", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), ["band", "key"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    rows = rows.join(named, "node").join(missed, "node", "left")
+
+    def compare(x: pa.Table):
+        node, n, label, own = (x.column(c).to_numpy() for c in ("node", "n", "label", "own"))
+        inside = x.column("i")[0].as_py() == x.column("j")[0].as_py()
+        if len(node) < 2 or (label == label[0]).all():
+            return []
+        counts = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.int32).reshape(-1, CLASSES)
+        not_again = [frozenset(m or ()) for m in x.column("missed").to_pylist()]
+        found = []
+        for at in range(len(node) - 1):
+            to = np.arange(at + 1, len(node))
+            to = to[(label[to] != label[at]) & (inside | (own[to] != own[at])) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))]
+            both = np.minimum(counts[at], counts[to]).sum(axis=1, dtype=np.int64)
+            share = both / np.maximum(n[to] + n[at] - both, 1)
+            for b, s in zip(to[both >= similarity * (n[to] + n[at] - both)], share[both >= similarity * (n[to] + n[at] - both)]):
+                low, high = (at, b) if node[at] < node[b] else (b, at)
+                if int(node[high]) not in not_again[low]:
+                    found.append((-s, int(node[low]), int(node[high]), *sorted((int(label[at]), int(label[b])))))
+        given: dict = {}
+        out = []
+        for _, a, b, *pair in sorted(found):
+            given[tuple(pair)] = given.get(tuple(pair), 0) + 1
+            if given[tuple(pair)] <= most:
+                out.append((a, b))
+        return out
+
+    def run(batches):
+        held: list = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in BUCKET_KEY], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            pairs = []
+            for s, e in zip(cuts, cuts[1:]):
+                if held and last != tuple(keys[s]):
+                    pairs += compare(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = tuple(keys[s])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        pairs = compare(pa.Table.from_batches(held).combine_chunks()) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = rows.select(*[F.col(c).cast("long").alias(c) for c in (*BUCKET_KEY, "own")], "node", "n", "label", "sketch", "missed")
+    return rows.repartition(*BUCKET_KEY).sortWithinPartitions(*BUCKET_KEY).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, block: int = BLOCK) -> DataFrame:
     """node, component_id: a row for each different shingle set, node the smallest doc_id that has it.
 
     Candidates share a SimHash class (fingerprints linked within 2 bits by generalised
     pigeonhole) or a band of minima: at similarity 0.8 fingerprints of 64 bits differ in about
     10, which no partition of them can select. Each bucket's members are compared with its
-    smallest member, on whole shingle sets; members that it does not resemble go on with one
-    more minimum in their key until no bucket has two. So no bucket emits all its pairs.
+    smallest and its largest member first, which joins most of a group. Then all members of a bucket that
+    are still in different components are compared by unlinked(), and what can be similar is counted
+    on whole shingle sets, until no pair of a bucket is open. So the components are those of all
+    similar pairs in buckets, and no bucket emits all its pairs.
     Nulls: a null text is empty, texts without words are alike; null doc_ids take no part.
     Two texts under one doc_id count as linked. Empty tables give none; extra columns are not read.
     """
     d = staged(signatures(docs, shingle))
-    first = [F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "bands", "more"))]
+    first = [F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch"))]
     nodes = staged(d.groupBy("k", "k2").agg(F.min("doc_id").alias("node"), *first))
     classes = components(links(staged(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "label")
     left = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     left = left.unionByName(nodes.join(classes, "fp", "left").select("node", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key")))
-    decided = None
-    for k in range(MORE + 1):
-        hubs = left.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-        rows = staged(left.join(hubs, ["band", "key"]).select("band", "key", "node", "n", F.col("hub.node").alias("a"), F.col("hub.n").alias("an")).where("node <> a"))
-        if rows.isEmpty():
-            break
-        edges = rows.where(F.least("n", "an") >= similarity * F.greatest("n", "an")).select("a", F.col("node").alias("b")).distinct()
-        if decided is not None:
-            edges = edges.join(decided, ["a", "b"], "left_anti")
-        new = staged(verified(staged(edges), docs, similarity, shingle))
-        decided = new if decided is None else decided.union(new)
-        if k == MORE:
+    ends = left.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"), F.count("*").alias("c")).where("c > 1")
+    left = staged(left.join(ends, ["band", "key"]))
+    hubs = left.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.explode(F.array("low", "high")).alias("hub"))
+    hubs = hubs.where(F.col("x") != F.col("hub.node")).where(F.least("xn", "hub.n") >= similarity * F.greatest("xn", "hub.n"))
+    edges = hubs.select(F.least("x", "hub.node").alias("a"), F.greatest("x", "hub.node").alias("b")).distinct()
+    decided = staged(verified(staged(edges), docs, similarity, shingle))
+    most = 1
+    while True:
+        labels = staged(components(decided.where("ok").select("a", "b")))
+        edges = staged(unlinked(left, nodes, labels, decided, most, similarity, block))
+        if edges.isEmpty():
             break
-        linked = decided.where("ok").select("a", F.col("b").alias("node"))
-        more = nodes.select("node", F.col("more")[k].alias("m"))
-        left = staged(rows.join(linked, ["a", "node"], "left_anti").join(more, "node").select(F.xxhash64("key", "m").alias("key"), "band", "node", "n").distinct())
-    if decided is None:
-        return nodes.select("node", F.col("node").alias("component_id"))
-    labels = components(decided.where("ok").select("a", "b"))
+        decided = staged(decided.union(verified(edges, docs, similarity, shingle)))
+        most *= 16
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component_id"))
 
 

@@ -314,3 +314,21 @@ def test_similar_documents_against_brute_force(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(None) == 1 and sorted(i for i in ids if i is not None) == want
     assert simhash.deduplicated(df.where("false")).count() == 0
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BAND", 1)
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    rows = []
+    for family in range(30):  # chains: each text resembles the next, not the one after it
+        words = [f"f{family}w{i}" for i in range(100)]
+        for step in range(6):
+            rows.append((len(rows), " ".join([f"f{family}new{i}" if i < 6 * step else w for i, w in enumerate(words)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    band = {r["doc_id"]: r["bands"][0] for r in simhash.signatures(df).collect()}
+    want = [(i, j) for i in range(len(rows)) for j in range(i) if band[i] == band[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(want) > 60
+    for block in (3, 256):
+        got = {r["node"]: r["component_id"] for r in simhash.similar(df, block=block).collect()}
+        assert [(i, j) for i, j in want if got[i] != got[j]] == []
