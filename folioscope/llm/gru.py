@@ -19,8 +19,8 @@ TABLE = 100_000
 #: Head words have vectors of their own, in classes of equal size; the rest of the table is classed by frequency.
 HEAD, MEMBERS, TAIL_CLASSES = 1024, 32, 30
 HIDDEN = 24
-#: Truncated backpropagation over WINDOW tokens, state carried on over the CHUNK; one chunk in EVERY is trained on.
-WINDOW, CHUNK, EVERY, LANES = 32, 128, 8, 64
+#: Truncated backpropagation over WINDOW tokens, state carried on over the CHUNK.
+WINDOW, CHUNK, LANES = 32, 128, 64
 RATE = 4e-3
 #: Lanes and tokens held at a time when scoring.
 SCORE_LANES, SCORE_TOKENS = 256, 500_000
@@ -171,13 +171,15 @@ class Network:
         return out, back
 
     def gradients(self, x: np.ndarray, ids: np.ndarray, h: np.ndarray, keep: np.ndarray, v: Vocabulary):
-        """Loss gradients over one window, truncated at its start; and the state at its end."""
+        """Loss gradients over one window, truncated at its start; and the state at its end. Negative ids are padding."""
         grad = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
         trace: list = []
         projected = self.project()
         states, last = self.forward(x, h, keep, projected, trace)
         t_n, b_n, m = states.shape
-        _, back = self.log_probability(states.reshape(-1, m), ids.reshape(-1), v, grad)
+        real = ids.reshape(-1) >= 0
+        back = np.zeros((t_n * b_n, m), np.float32)
+        back[real] = self.log_probability(states.reshape(-1, m)[real], ids.reshape(-1)[real], v, grad)[1]
         back = back.reshape(t_n, b_n, m)
         da = np.zeros((t_n, b_n, 3 * m), np.float32)
         dh = np.zeros((b_n, m), np.float32)
@@ -218,15 +220,17 @@ class Adam:
 
 
 def train_on(net: Network, chunks: np.ndarray, v: Vocabulary, optimiser: Adam) -> None:
-    """chunks (n, CHUNK) of ids: windows in turn, the state carried over from one to the next."""
+    """chunks (n, CHUNK) of ids, -1 after the last: windows in turn, the state carried over from one to the next."""
     end = v.n + 1
     for s in range(0, len(chunks), LANES):
         ids = chunks[s:s + LANES].T
-        before = np.vstack([np.full((1, ids.shape[1]), end), ids[:-1]])
+        before = np.vstack([np.full((1, ids.shape[1]), end), np.where(ids[:-1] < 0, end, ids[:-1])])
         keep = (before != end).astype(np.float32)
         x = v.input_of[before]
         h = np.zeros((ids.shape[1], HIDDEN), np.float32)
         for w in range(0, CHUNK, WINDOW):
+            if (ids[w:w + WINDOW] < 0).all():
+                break
             grad, h = net.gradients(x[w:w + WINDOW], ids[w:w + WINDOW], h, keep[w:w + WINDOW], v)
             optimiser.step(grad)
 
@@ -320,7 +324,7 @@ def vocabulary(counts: DataFrame, size: int = TABLE) -> tuple[Vocabulary, float]
 
 
 def trained(docs: DataFrame, v: Vocabulary) -> Network:
-    """The network: each partition trains a copy on its training documents, weights are averaged by tokens.
+    """The network: each partition trains a copy on all tokens of its training documents, weights are averaged by tokens.
 
     Only sums by parameter are shuffled; the driver gets as many numbers as the network has.
     """
@@ -328,18 +332,19 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
 
     def run(batches):
         net = Network(start.flat.copy())
-        optimiser, seen, at = Adam(net), 0, 0
+        optimiser, seen = Adam(net), 0
         parts, size = [], 0
 
-        def use():
-            nonlocal parts, size, at, seen
+        def use(last: bool = False):
+            nonlocal parts, size, seen
             stream = np.concatenate(parts)
-            rows = stream[:len(stream) // CHUNK * CHUNK].reshape(-1, CHUNK)
-            picked = rows[(-at) % EVERY::EVERY]
-            at += len(rows)
-            seen += picked.size
-            train_on(net, picked, v, optimiser)
-            parts, size = [], 0
+            if last:
+                stream = np.append(stream, np.full(-len(stream) % CHUNK, -1, stream.dtype))
+            cut = len(stream) // CHUNK * CHUNK
+            chunks, rest = stream[:cut].reshape(-1, CHUNK), stream[cut:]
+            seen += int((chunks >= 0).sum())
+            train_on(net, chunks, v, optimiser)
+            parts, size = [rest] if len(rest) else [], len(rest)
 
         for b in slices(batches):
             for text, held in zip(as_bytes(b, "text"), b.column("held_out").to_pylist()):
@@ -350,7 +355,7 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
                 if size > SCORE_TOKENS:
                     use()
         if parts:
-            use()
+            use(last=True)
         if seen:
             yield pd.DataFrame({"i": np.arange(Network.SIZE), "w": net.flat.astype(np.float64) * seen, "n": np.full(Network.SIZE, float(seen))})
 

@@ -332,3 +332,21 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     for block in (3, 256):
         got = {r["node"]: r["component_id"] for r in simhash.similar(df, block=block).collect()}
         assert [(i, j) for i, j in want if got[i] != got[j]] == []
+
+
+def test_the_network_trains_on_every_token(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 400)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    few = df.where("doc_id = 0").selectExpr("doc_id", "substring(text, 1, 40) AS text")
+    v, _ = gru.vocabulary(gru.word_counts(df))
+    start = gru.Network.initial(v).flat
+    moved = gru.trained(few, v).flat
+    assert np.isfinite(moved).all() and (moved != start).any()
+
+    def count(net, chunks, v, optimiser):
+        net.flat[0] += (chunks >= 0).sum()
+
+    monkeypatch.setattr(gru, "train_on", count)
+    monkeypatch.setattr(gru, "SCORE_TOKENS", 1000)
+    assert round(float(gru.trained(df, v).flat[0] - start[0])) == v.total
