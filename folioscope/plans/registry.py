@@ -306,7 +306,7 @@ def page_texts(spark, sf_dir):
 @query("""SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, length(props) > 30 AS truncated, substr(props, 1, 30) AS preview FROM events WHERE event_id % 50 = 0""")
 def json_metadata(spark, sf_dir):
     """Values out of JSON metadata, and previews."""
-    return _t(spark, sf_dir, "events").where("event_id % 50 = 0").select("event_id", "event_type", F.get_json_object("props", "$.page").alias("page"), (F.length("props") > 30).alias("truncated"), F.substring("props", 1, 30).alias("preview"))
+    return _t(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.page").alias("page"), (F.length("props") > 30).alias("truncated"), F.substring("props", 1, 30).alias("preview"))
 
 
 @query("""WITH w AS (SELECT l_orderkey AS img, l_linenumber AS pos, CASE WHEN l_linenumber % 4 = 3 THEN ' ' ELSE 'w' || l_partkey END AS word, l_quantity * 2 AS conf, l_linenumber // 3 AS line FROM lineitem WHERE l_orderkey % 10 = 0),

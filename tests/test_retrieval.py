@@ -120,3 +120,9 @@ def test_scan_of_a_folder(spark, tmp_path):
     (inbox / "c.md").write_text("new text")
     assert scan_once(spark, str(inbox), snaps, p) == {"added": 1, "updated": 0, "unchanged": 1, "removed": 1}
     assert {r["source_path"] for r in snaps.read("documents").where("is_active").collect()} == {"a.md", "c.md"} and snaps.read("chunks").count() == 2
+
+
+def test_json_metadata_covers_all_events(spark):
+    want = duckdb.sql(f"SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, length(props) > 30 AS truncated, substr(props, 1, 30) AS preview FROM '{SF}/events.parquet'").fetchall()
+    got = registry.QUERIES["json_metadata"](spark, SF).select("event_id", "event_type", "page", "truncated", "preview").collect()
+    assert len(want) > 900 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
