@@ -317,7 +317,7 @@ def ocr_lines(spark, sf_dir):
     """Sure words regrouped into lines (S17, A12); order lines stand in for recognised words."""
     from ..sources.files import ocr_text
 
-    w = _t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(
+    w = _t(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_linenumber") % 4 == 3, " ").otherwise(F.concat(F.lit("w"), "l_partkey")).alias("text"),
         (F.col("l_quantity") * 2).alias("conf"), F.lit(0).alias("block_num"), F.lit(0).alias("par_num"), F.expr("l_linenumber DIV 3").alias("line_num"))
     return ocr_text(w, ["img"], 60, 2, 12)

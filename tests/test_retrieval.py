@@ -126,3 +126,23 @@ def test_json_metadata_covers_all_events(spark):
     want = duckdb.sql(f"SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, length(props) > 30 AS truncated, substr(props, 1, 30) AS preview FROM '{SF}/events.parquet'").fetchall()
     got = registry.QUERIES["json_metadata"](spark, SF).select("event_id", "event_type", "page", "truncated", "preview").collect()
     assert len(want) > 900 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_ocr_lines_cover_all_orders(spark):
+    words: dict = {}
+    for order, number, part, quantity in duckdb.sql(f"SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) FROM '{SF}/lineitem.parquet'").fetchall():
+        kept = words.setdefault(order, [])
+        if number % 4 != 3 and quantity * 2 >= 60:
+            kept.append((number // 3, number, f"w{part}"))
+    want = {}
+    for order, kept in words.items():
+        lines: dict = {}
+        for line, _, word in sorted(kept):
+            lines.setdefault(line, []).append(word)
+        text_ = "\n".join(" ".join(x) for _, x in sorted(lines.items()))
+        want[order] = text_ if len(kept) >= 2 and len(text_) >= 12 else ""
+    got = [tuple(r) for r in registry.QUERIES["ocr_lines"](spark, SF).select("img", "text").collect()]
+    assert len(want) > 1000 and sorted(got) == sorted(want.items())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert sorted(c.execute(f"SELECT img, text FROM ({registry.SQL['ocr_lines']})").fetchall()) == sorted(r for r in got if r[0] % 10 == 0)
