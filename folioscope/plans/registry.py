@@ -37,8 +37,8 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").join(_t(spark, sf_dir, "benchmark"), F.col("item_id") == F.expr("vec_id DIV 100"))
-    return q.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 50).alias("query"), "embedding", F.lit(AS_OF).cast("timestamp").alias("as_of"))
+    q = _t(spark, sf_dir, "embeddings").join(_t(spark, sf_dir, "benchmark"), F.col("item_id") == F.col("vec_id"))
+    return q.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding", F.lit(AS_OF).cast("timestamp").alias("as_of"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.QUESTION_WORDS)
@@ -165,10 +165,10 @@ def question_terms(spark, sf_dir):
 
 @query(f"WITH g AS (SELECT item_id, {_trigrams('substr(text, 1, 200)')} AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({_jaccard('a.g', 'b.g')}, 9) AS sim FROM g a JOIN g b ON b.item_id = a.item_id + 1")
 def trigram_similarity(spark, sf_dir):
-    """Trigram likeness of neighbouring passages."""
-    g = _t(spark, sf_dir, "benchmark").select("item_id", text.trigrams(F.substring("text", 1, 200)).alias("g"))
+    """Trigram likeness of all pairs of passages."""
+    g = _t(spark, sf_dir, "benchmark").select("item_id", text.trigrams(F.col("text")).alias("g"))
     b = g.select(F.col("item_id").alias("b"), F.col("g").alias("h"))
-    return g.join(b, F.col("b") == F.col("item_id") + 1).select(F.col("item_id").alias("a"), "b", F.round(text.jaccard(F.col("g"), F.col("h")), 9).alias("sim"))
+    return g.join(b, F.col("b") > F.col("item_id")).select(F.col("item_id").alias("a"), "b", F.round(text.jaccard(F.col("g"), F.col("h")), 9).alias("sim"))
 
 
 @query("""WITH g AS (SELECT sha256(text) AS h, min(doc_id) AS canonical, list_sort(list(DISTINCT doc_id)) AS ids FROM documents GROUP BY 1)

@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import duckdb
 import pytest
@@ -146,3 +147,26 @@ def test_ocr_lines_cover_all_orders(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
     assert sorted(c.execute(f"SELECT img, text FROM ({registry.SQL['ocr_lines']})").fetchall()) == sorted(r for r in got if r[0] % 10 == 0)
+
+
+def test_all_questions_whole(spark):
+    asked = {r["query_id"]: r["query"] for r in registry.questions(spark, SF).collect()}
+    assert asked == dict(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    whole = f"questions AS (SELECT item_id AS query_id, text AS query, embedding AS q_vec, {registry._terms('text')} AS terms FROM embeddings JOIN benchmark ON item_id = vec_id)"
+    for name in ("hybrid_search", "rerank_fusion"):
+        got = registry.QUERIES[name](spark, SF)
+        cols = sorted(got.columns)
+        want = c.execute(f"SELECT {', '.join(cols)} FROM ({registry.SQL[name].replace(registry.QUESTIONS, whole)})").fetchall()
+        assert len({r[cols.index("query_id")] for r in want}) == len(asked)
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
+
+
+def test_trigram_similarity_of_all_pairs(spark):
+    grams = {i: {f"  {w} "[k:k + 3] for w in re.split(r"[\W_]+", t.lower()) if w for k in range(len(w) + 1)} for i, t in duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()}
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b}
+    got = {(r["a"], r["b"]): r["sim"] for r in registry.QUERIES["trigram_similarity"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-8)
