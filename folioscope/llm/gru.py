@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 
 from .common import TEXT_KEY, as_bytes, slices, staged, table, text_key
 
-#: Words with a count of their own in every task; rarer ones are joined. A bound, not a share.
+#: Most words with a count of their own in every task; rarer ones are joined. A bound, not a share.
 TABLE = 100_000
 #: Head words have vectors of their own, in classes of equal size; the rest of the table is classed by frequency.
 HEAD, MEMBERS, TAIL_CLASSES = 1024, 32, 30
-HIDDEN = 24
+HIDDEN = 16
 #: Truncated backpropagation over WINDOW tokens, state carried on over the CHUNK.
-WINDOW, CHUNK, LANES = 32, 128, 64
-RATE = 4e-3
-#: Lanes and tokens held at a time when scoring.
-SCORE_LANES, SCORE_TOKENS = 256, 500_000
+WINDOW, CHUNK = 32, 128
+#: Chunks side by side: few at first, so that the first steps are many, then twice as many after each BATCHES steps.
+LANES, MOST_LANES, BATCHES = 16, 256, 64
+RATE = 6e-3
+#: Logits below this need no maximum taken out before exp() in single precision.
+SAFE = 80.0
+#: Lanes, tokens a window and tokens held at a time when scoring; softmaxes run over ROWS states at a time.
+SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS, ROWS = 256, 96, 500_000, 4096
 
 HEAD_CLASSES = HEAD // MEMBERS
 RARE_CLASS, END_CLASS = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES + TAIL_CLASSES + 1
@@ -78,6 +82,14 @@ class Vocabulary:
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
 
+def _exponentials(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """exp() of logits in place, up to a factor a row, and its row sums. States lie within -1 and 1, so the weights bound the logits."""
+    if (np.abs(weights).sum(axis=0) + bias).max(initial=0.0) > SAFE or bias.max(initial=0.0) < -SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits.sum(axis=1)
+
+
 class Network:
     """Gated recurrent unit; P(token) = P(class | state) P(token | class, state)."""
 
@@ -108,66 +120,88 @@ class Network:
         return net
 
     def forward(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray | None, projected: np.ndarray, trace: list | None = None):
-        """States after each of x (T, B) input ids from h; keep (T, B) is 0 where a document starts."""
-        u, m = self.p["u"], HIDDEN
-        a = projected[x]
-        out = np.empty((len(x), len(h), m), np.float32)
+        """States after each of x (T, B) input ids from h (B, HIDDEN); keep (T, B) is 0 where a document starts.
+
+        Inside, units run down and lanes along, so that each gate is one piece of memory. projected and the
+        recurrent weights of the gates are halved: a logistic function is a tanh() of half its input.
+        """
+        m = HIDDEN
+        u = np.ascontiguousarray(self.p["u"].T)
+        u[:2 * m] *= 0.5
+        a = np.ascontiguousarray(projected[x].transpose(0, 2, 1))
+        out = np.empty((len(x), m, len(h)), np.float32)
+        h = np.ascontiguousarray(h.T)
         for t in range(len(x)):
             if keep is not None:
-                h = h * keep[t][:, None]
-            g = h @ u
-            gates = 0.5 * (1 + np.tanh(0.5 * (a[t, :, :2 * m] + g[:, :2 * m])))
-            r, z = gates[:, :m], gates[:, m:]
-            c = np.tanh(a[t, :, 2 * m:] + r * g[:, 2 * m:])
-            new = c + z * (h - c)
+                h = h * keep[t]
+            g = u @ h
+            gates = a[t, :2 * m]
+            gates += g[:2 * m]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            r, z = gates[:m], gates[m:]
+            c = r * g[2 * m:]
+            c += a[t, 2 * m:]
+            np.tanh(c, out=c)
             if trace is not None:
-                trace.append((h, g, r, z, c))
-            out[t] = h = new
-        return out, h
+                trace.append((h, g[2 * m:], r, z, c))
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= z
+            new += c
+            h = new
+        return out.transpose(0, 2, 1), h.T.copy()
 
     def project(self) -> np.ndarray:
-        return self.p["e"] @ self.p["wx"] + self.p["bx"]
+        """What each input id adds to the gates (halved) and to the candidate."""
+        out = self.p["e"] @ self.p["wx"] + self.p["bx"]
+        out[:, :2 * HIDDEN] *= 0.5
+        return out
 
     def log_probability(self, states: np.ndarray, ids: np.ndarray, v: Vocabulary, grad: dict | None = None):
         """Natural log P of ids (N) from states (N, HIDDEN); with grad also d loss / d states."""
         y = v.class_of[ids]
         n = len(ids)
-        logits = states @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
         at = np.arange(n)
+        logits = states @ self.p["wc"]
+        logits += self.p["bc"]
+        total = _exponentials(logits, self.p["wc"], self.p["bc"])
         out = np.log(logits[at, y] / total) + v.within[ids]
         back = None
         if grad is not None:
-            d = logits / total[:, None]
-            d[at, y] -= 1
-            d /= n
-            grad["wc"] += states.T @ d
-            grad["bc"] += d.sum(axis=0)
-            back = d @ self.p["wc"].T
-        order = np.argsort(y, kind="stable")
+            logits *= (1 / (n * total))[:, None]
+            logits[at, y] -= np.float32(1 / n)
+            grad["wc"] += states.T @ logits
+            grad["bc"] += logits.sum(axis=0)
+            back = logits @ self.p["wc"].T
+        head = np.flatnonzero(y < HEAD_CLASSES)
+        order = head[np.argsort(y[head].astype(np.int16), kind="stable")]
         cuts = np.searchsorted(y[order], np.arange(HEAD_CLASSES + 1))
+        ordered, own = states[order], ids[order] % MEMBERS
+        shares = np.empty(len(order))
+        pulled = np.empty_like(ordered)
         for k in range(HEAD_CLASSES):
-            rows = order[cuts[k]:cuts[k + 1]]
-            if not len(rows):
+            part = slice(cuts[k], cuts[k + 1])
+            m = part.stop - part.start
+            if not m:
                 continue
             words = slice(k * MEMBERS, (k + 1) * MEMBERS)
-            s = states[rows]
-            w = s @ self.p["wh"][words].T + self.p["bh"][words]
-            w -= w.max(axis=1, keepdims=True)
-            np.exp(w, out=w)
-            sums = w.sum(axis=1)
-            own = ids[rows] - k * MEMBERS
-            i = np.arange(len(rows))
-            out[rows] += np.log(np.maximum(w[i, own] / sums, 1e-30)) - v.within[ids[rows]]
+            s, wh = ordered[part], self.p["wh"][words]
+            w = s @ wh.T
+            w += self.p["bh"][words]
+            sums = _exponentials(w, wh.T, self.p["bh"][words])
+            i = np.arange(m)
+            shares[part] = w[i, own[part]] / sums
             if grad is not None:
-                d = w / sums[:, None]
-                d[i, own] -= 1
-                d /= n
-                grad["wh"][words] += d.T @ s
-                grad["bh"][words] += d.sum(axis=0)
-                back[rows] += d @ self.p["wh"][words]
+                w *= (1 / (n * sums))[:, None]
+                w[i, own[part]] -= np.float32(1 / n)
+                grad["wh"][words] += w.T @ s
+                grad["bh"][words] += w.sum(axis=0)
+                pulled[part] = w @ wh
+        out[order] += np.log(np.maximum(shares, 1e-30)) - v.within[ids[order]]
+        if grad is not None:
+            back[order] += pulled
         return out, back
 
     def gradients(self, x: np.ndarray, ids: np.ndarray, h: np.ndarray, keep: np.ndarray, v: Vocabulary):
@@ -177,25 +211,45 @@ class Network:
         projected = self.project()
         states, last = self.forward(x, h, keep, projected, trace)
         t_n, b_n, m = states.shape
+        states = np.ascontiguousarray(states)
         real = ids.reshape(-1) >= 0
         back = np.zeros((t_n * b_n, m), np.float32)
         back[real] = self.log_probability(states.reshape(-1, m)[real], ids.reshape(-1)[real], v, grad)[1]
-        back = back.reshape(t_n, b_n, m)
-        da = np.zeros((t_n, b_n, 3 * m), np.float32)
-        dh = np.zeros((b_n, m), np.float32)
+        back = np.ascontiguousarray(back.reshape(t_n, b_n, m).transpose(0, 2, 1))
+        da = np.empty((t_n, 3 * m, b_n), np.float32)
+        dh = np.zeros((m, b_n), np.float32)
+        dg = np.empty((3 * m, b_n), np.float32)
+        u = self.p["u"]
         for t in range(t_n - 1, -1, -1):
             prev, g, r, z, c = trace[t]
-            dh = dh + back[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (prev - c) * z * (1 - z)
-            dr = dc * g[:, 2 * m:] * r * (1 - r)
-            da[t, :, :m], da[t, :, m:2 * m], da[t, :, 2 * m:] = dr, dz, dc
-            dg = np.concatenate([dr, dz, dc * r], axis=1)
-            grad["u"] += prev.T @ dg
-            dh = (dh * z + dg @ self.p["u"].T) * keep[t][:, None]
+            dh += back[t]
+            dr, dz, dc = da[t, :m], da[t, m:2 * m], da[t, 2 * m:]
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            left = 1 - z
+            dc *= left
+            dc *= dh
+            left *= z
+            np.subtract(prev, c, out=dz)
+            dz *= dh
+            dz *= left
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= g
+            dr *= dc
+            dg[:2 * m] = da[t, :2 * m]
+            np.multiply(dc, r, out=dg[2 * m:])
+            grad["u"] += prev @ dg.T
+            dh *= z
+            dh += u @ dg
+            dh *= keep[t]
+        da = np.ascontiguousarray(da.transpose(0, 2, 1))
         flat = da.reshape(-1, 3 * m)
         by_input = np.zeros((HEAD + CLASSES, 3 * m), np.float32)
-        np.add.at(by_input, x.reshape(-1), flat)
+        inputs = x.reshape(-1).astype(np.int16)
+        order = np.argsort(inputs, kind="stable")
+        first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
+        by_input[inputs[order[first]]] = np.add.reduceat(flat[order], first, axis=0)
         grad["bx"] += flat.sum(axis=0)
         grad["wx"] += self.p["e"].T @ by_input
         grad["e"] += by_input @ self.p["wx"].T
@@ -222,8 +276,11 @@ class Adam:
 def train_on(net: Network, chunks: np.ndarray, v: Vocabulary, optimiser: Adam) -> None:
     """chunks (n, CHUNK) of ids, -1 after the last: windows in turn, the state carried over from one to the next."""
     end = v.n + 1
-    for s in range(0, len(chunks), LANES):
-        ids = chunks[s:s + LANES].T
+    s = 0
+    while s < len(chunks):
+        lanes = min(MOST_LANES, LANES << min(16, optimiser.t // BATCHES))
+        ids = chunks[s:s + lanes].T
+        s += lanes
         before = np.vstack([np.full((1, ids.shape[1]), end), np.where(ids[:-1] < 0, end, ids[:-1])])
         keep = (before != end).astype(np.float32)
         x = v.input_of[before]
@@ -261,22 +318,24 @@ def score_documents(net: Network, documents: list[np.ndarray], v: Vocabulary, la
     projected = net.project()
     h = np.zeros((lanes, HIDDEN), np.float32)
     last = np.full(lanes, end)
-    for w in range(0, int(lengths[0]), WINDOW):
+    for w in range(0, int(lengths[0]), SCORE_WINDOW):
         live = int(np.searchsorted(-lengths, -w, "left"))
-        t_n = int(min(WINDOW, lengths[0] - w))
-        ids = np.full((t_n, live), -1, np.int64)
-        doc = np.zeros((t_n, live), np.int64)
+        t_n = int(min(SCORE_WINDOW, lengths[0] - w))
+        ids = np.full((live, t_n), -1, np.int64)
+        doc = np.zeros((live, t_n), np.int64)
         for b in range(live):
             part = streams[b][w:w + t_n]
-            ids[:len(part), b] = part
-            doc[:len(part), b] = owners[b][w:w + t_n]
+            ids[b, :len(part)] = part
+            doc[b, :len(part)] = owners[b][w:w + t_n]
+        ids = ids.T
         real = ids >= 0
         safe = np.where(real, ids, end)
         before = np.vstack([last[None, :live], safe[:-1]])
         states, h_new = net.forward(v.input_of[before], h[:live], (before != end).astype(np.float32), projected)
         h[:live], last[:live] = h_new, safe[-1]
-        logp, _ = net.log_probability(states.reshape(-1, HIDDEN)[real.ravel()], safe[real], v)
-        out += np.bincount(doc[real], logp, len(documents))
+        states, wanted, doc = states[real], ids[real], doc.T[real]
+        logp = [net.log_probability(states[i:i + ROWS], wanted[i:i + ROWS], v)[0] for i in range(0, len(wanted), ROWS)]
+        out += np.bincount(doc, np.concatenate(logp), len(documents))
     return out / _LN10
 
 
@@ -315,18 +374,65 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, size: int = TABLE) -> tuple[Vocabulary, float]:
-    """The vocabulary, and the probability that a rare word is one never seen (singletons' share of rare tokens)."""
+    """The vocabulary, and the probability that a rare word is one never seen (singletons' share of rare tokens).
+
+    It holds every word that occurs at least as often as a least count, the smallest for which that is at most `size`
+    words. The count comes from a histogram of counts (exact below 4,096, 12 leading bits above), so the driver gets
+    a row for each bin and then the table itself, never a share of it from each partition.
+    """
+    words = counts.where("h IS NOT NULL AND c > 0")
     ends = counts.where("h IS NULL").agg(F.sum("c")).first()[0] or 0
-    n, types, ones = counts.where("h IS NOT NULL AND c > 0").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    top = counts.where("h IS NOT NULL AND c > 1").orderBy(F.desc("c"), "h").limit(size).toPandas()
+    n, types, ones = words.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    low = F.greatest(F.lit(0), F.floor(F.log2(F.col("c").cast("double"))) - 11).cast("int")
+    at = words.where("c > 1").select("c", low.alias("low")).select(F.expr("shiftleft(shiftright(c, low), low)").alias("at"))
+    held, least = 0, None
+    for value, many in sorted(map(tuple, at.groupBy("at").count().collect()), reverse=True):
+        held += many
+        if held > size:
+            break
+        least = value
+    top = words.where(F.col("c") >= least).toPandas() if least is not None else pd.DataFrame({"h": [], "c": []})
+    top = top.sort_values(["c", "h"], ascending=[False, True])
     v = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(ends), int((n or 0) + ends), int(types + (ends > 0)))
     return v, float(min(0.9, max(0.01, ones / v.rare))) if v.rare else 0.9
 
 
-def trained(docs: DataFrame, v: Vocabulary) -> Network:
+def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, held_out, text key, ids (the end last) and rare: the words outside the table by hash, with how often."""
+    fields = [pa.field("doc_id", pa.int64()), pa.field("held_out", pa.bool_()), pa.field(TEXT_KEY[0], pa.int64()), pa.field(TEXT_KEY[1], pa.int32()), pa.field("ids", pa.list_(pa.int32())),
+              pa.field("rare", pa.list_(pa.struct([("h", pa.int64()), ("times", pa.int64())])))]
+    end = np.array([v.n + 1], np.int32)
+
+    def run(batches):
+        for b in slices(batches, 256):
+            ids, rare = [], []
+            for text in as_bytes(b, "text"):
+                words = text.lower().split()
+                x = v.ids(words)
+                out = Counter(words[i] for i in np.flatnonzero(x == v.n))
+                rare.append([{"h": word_hash(w), "times": n} for w, n in out.items()])
+                ids += [x, end]
+            ends = np.cumsum([0, *(len(x) + 1 for x in ids[::2])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields[:4]), lists, pa.array(rare, fields[5].type)], schema=pa.schema(fields))
+
+    kinds = f"doc_id long, held_out boolean, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, ids array<int>, rare array<struct<h: long, times: long>>"
+    return _prepared(docs).select("doc_id", "held_out", *TEXT_KEY, "text").mapInArrow(run, kinds)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of an Arrow column, as views."""
+    if not len(column):
+        return []
+    at = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[at[0]:at[-1]], at[1:-1] - at[0])
+
+
+def trained(tokens: DataFrame, v: Vocabulary) -> Network:
     """The network: each partition trains a copy on all tokens of its training documents, weights are averaged by tokens.
 
-    Only sums by parameter are shuffled; the driver gets as many numbers as the network has.
+    tokens are those of encoded(). Only sums by parameter are shuffled; the driver gets as many numbers as the network
+    has. The weights depend on how the table is cut into partitions, as each trains from the same start.
     """
     start = Network.initial(v)
 
@@ -346,12 +452,10 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
             train_on(net, chunks, v, optimiser)
             parts, size = [rest] if len(rest) else [], len(rest)
 
-        for b in slices(batches):
-            for text, held in zip(as_bytes(b, "text"), b.column("held_out").to_pylist()):
-                if held:
-                    continue
-                parts.append(np.append(v.ids(text.lower().split()), np.int32(v.n + 1)))
-                size += len(parts[-1])
+        for b in batches:
+            for x in _lists(b.column("ids")):
+                parts.append(x)
+                size += len(x)
                 if size > SCORE_TOKENS:
                     use()
         if parts:
@@ -363,7 +467,7 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
         for pdf in run(batches):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    sums = _prepared(docs).select("text", "held_out").mapInArrow(frames, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+    sums = tokens.where("NOT held_out").select("ids").mapInArrow(frames, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
     if sums.empty:
         return start
     flat = np.zeros(Network.SIZE)
@@ -371,38 +475,35 @@ def trained(docs: DataFrame, v: Vocabulary) -> Network:
     return Network(flat)
 
 
-def scored(docs: DataFrame, v: Vocabulary, net: Network) -> DataFrame:
-    """A row a document (h null): its sums over the words of the table; and a row for each of its rare words (h, times)."""
-    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), (TEXT_KEY[0], pa.int64()), (TEXT_KEY[1], pa.int32()), ("h", pa.int64()),
-              ("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+def scored(tokens: DataFrame, v: Vocabulary, net: Network) -> DataFrame:
+    """A row a document of encoded(): its sums over the words of the table, and its rare words."""
+    fields = [("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    names = ["doc_id", "held_out", *TEXT_KEY]
 
     def run(batches):
-        rows, docs_, ids, size = [], [], [], 0
+        held, ids, size = [], [], 0
 
         def flush():
-            nonlocal rows, docs_, ids, size
-            for (doc, held, k, k2), x, s in zip(docs_, ids, score_documents(net, ids, v)):
-                rows.append((doc, held, k, k2, None, len(x), int(v.known[x].sum()), float(v.base[x[x != v.n]].sum()), float(s)))
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f[0] for f in fields])
-            rows, docs_, ids, size = [], [], [], 0
-            return out
-
-        for b in slices(batches):
-            for doc, held, k, k2, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "held_out", *TEXT_KEY)], as_bytes(b, "text")):
-                words = text.lower().split()
-                x = v.ids(words)
-                rare = Counter(words[i] for i in np.flatnonzero(x == v.n))
-                rows += [(None, None, k, k2, word_hash(w), n, None, None, None) for w, n in rare.items()]
-                docs_.append((doc, held, k, k2))
-                ids.append(np.append(x, np.int32(v.n + 1)))
-                size += len(ids[-1])
-                if size > SCORE_TOKENS:
-                    yield flush()
-        if docs_:
-            yield flush()
-
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean"}
-    return _prepared(docs).mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))
+            nonlocal held, ids, size
+            rows = [(len(x), int(v.known[x].sum()), float(v.base[x[x != v.n]].sum()), float(s)) for x, s in zip(ids, score_documents(net, ids, v))]
+            own = pa.Table.from_batches(held).combine_chunks()
+            for (field, kind), values in zip(fields, zip(*rows)):
+                own = own.append_column(field, pa.array(values, kind))
+            held, ids, size = [], [], 0
+            return own.to_batches()
+
+        for b in slices(batches, 256):
+            x = _lists(b.column("ids"))
+            held.append(b.select(names))
+            ids += x
+            size += sum(map(len, x))
+            if size > SCORE_TOKENS:
+                yield from flush()
+        if ids:
+            yield from flush()
+
+    kinds = f"doc_id long, held_out boolean, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, times long, known long, base double, score double"
+    return tokens.select(*names, "ids").mapInArrow(run, kinds)
 
 
 def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
@@ -420,18 +521,20 @@ def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
     """
     counts = staged(word_counts(docs))
     v, unseen = vocabulary(counts, size)
-    rows = staged(scored(docs, v, trained(docs, v)))
+    tokens = staged(encoded(docs, v))
+    d = staged(scored(tokens, v, trained(tokens, v)))
     scale = max(v.total + 0.5 * (v.types + 1), 1.0)
-    rare = rows.where("h IS NOT NULL").join(counts.where("h IS NOT NULL AND c > 0"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    # copies of a text have the same rare words, so these are joined once a text
+    rare = tokens.where("size(rare) > 0").groupBy(*TEXT_KEY).agg(F.any_value("rare").alias("rare")).select(*TEXT_KEY, F.inline("rare"))
+    rare = rare.join(counts.where("h IS NOT NULL AND c > 0"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     within = F.when(F.col("c") > 0, F.log10(F.col("c") * F.lit((1 - unseen) / max(v.rare, 1.0)))).otherwise(F.lit(float(np.log10(unseen))))
     texts = rare.groupBy(*TEXT_KEY).agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("r_known"),
                                          F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("r_base"), F.sum(F.col("times") * within).alias("r_score"))
-    d = rows.where("h IS NULL").drop("h")
-    # the rare rows of equal texts were summed together
-    copies = d.groupBy(*TEXT_KEY).agg(F.count("*").alias("copies"))
-    d = d.join(texts.join(copies, TEXT_KEY), TEXT_KEY, "left")
-    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    return d.select("doc_id", "held_out", F.col("times").alias("n_tokens"), (F.col("known") + F.round(share("r_known")).cast("long")).alias("n_known"),
+    # single precision differs in the last digits by a text's neighbours: its copies get one score
+    own = d.groupBy(*TEXT_KEY).agg(F.max("score").alias("score")).join(texts, TEXT_KEY, "left")
+    d = d.drop("score").join(own, TEXT_KEY)
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return d.select("doc_id", "held_out", F.col("times").alias("n_tokens"), (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
                     F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + share("r_base")).alias("base_score"), (F.col("score") + share("r_score")).alias("score"))
 
 

@@ -341,7 +341,7 @@ def test_the_network_trains_on_every_token(spark, monkeypatch):
     few = df.where("doc_id = 0").selectExpr("doc_id", "substring(text, 1, 40) AS text")
     v, _ = gru.vocabulary(gru.word_counts(df))
     start = gru.Network.initial(v).flat
-    moved = gru.trained(few, v).flat
+    moved = gru.trained(gru.encoded(few, v), v).flat
     assert np.isfinite(moved).all() and (moved != start).any()
 
     def count(net, chunks, v, optimiser):
@@ -349,4 +349,4 @@ def test_the_network_trains_on_every_token(spark, monkeypatch):
 
     monkeypatch.setattr(gru, "train_on", count)
     monkeypatch.setattr(gru, "SCORE_TOKENS", 1000)
-    assert round(float(gru.trained(df, v).flat[0] - start[0])) == v.total
+    assert round(float(gru.trained(gru.encoded(df, v), v).flat[0] - start[0])) == v.total
