@@ -48,7 +48,7 @@ class Vocabulary:
         self.n, self.ends, self.total, self.types = len(hashes), ends, total, types
         self.rare = max(0.0, total - ends - float(self.counts.sum()))
         self.index: dict[int, int] | None = None
-        self.memo: dict[bytes, int] = {}
+        self.memo: _Memo | None = None
         n, head = self.n, min(HEAD, self.n)
         self.class_of = np.full(n + 2, RARE_CLASS, np.int32)
         self.class_of[:head] = np.arange(head) // MEMBERS
@@ -69,27 +69,41 @@ class Vocabulary:
         self.known = np.append(np.ones(n), [0.0, float(ends > 0)])
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None, "memo": {}}
+        return self.__dict__ | {"index": None, "memo": None}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         if self.index is None:
             self.index = {h: i for i, h in enumerate(self.hashes.tolist())}
-        memo, index, n = self.memo, self.index, self.n
-        if len(memo) > 250_000:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = index.get(word_hash(w), n)
-        return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+        if self.memo is None or len(self.memo) > 500_000:
+            self.memo = _Memo(self.index, self.n)
+        return np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))
 
 
-def _exponentials(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """exp() of logits in place, up to a factor a row, and its row sums. States lie within -1 and 1, so the weights bound the logits."""
-    if (np.abs(weights).sum(axis=0) + bias).max(initial=0.0) > SAFE or bias.max(initial=0.0) < -SAFE:
+class _Memo(dict):
+    """Ids of words met before; a word that is new is hashed and looked up."""
+
+    def __init__(self, index: dict[int, int], rare: int):
+        super().__init__()
+        self.index, self.rare = index, rare
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.index.get(word_hash(word), self.rare)
+        return found
+
+
+def _exponentials(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """exp() of logits in place, up to a factor a row, and its row sums."""
+    if not safe:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     return logits.sum(axis=1)
 
 
+def _safe(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exp() of the logits stays in single precision: states lie within -1 and 1, so the weights (a row a logit) bound them."""
+    return bool((np.abs(weights).sum(axis=1) + np.abs(bias)).max(initial=0.0) < SAFE)
+
+
 class Network:
     """Gated recurrent unit; P(token) = P(class | state) P(token | class, state)."""
 
@@ -166,7 +180,7 @@ class Network:
         at = np.arange(n)
         logits = states @ self.p["wc"]
         logits += self.p["bc"]
-        total = _exponentials(logits, self.p["wc"], self.p["bc"])
+        total = _exponentials(logits, _safe(self.p["wc"].T, self.p["bc"]))
         out = np.log(logits[at, y] / total) + v.within[ids]
         back = None
         if grad is not None:
@@ -181,6 +195,7 @@ class Network:
         ordered, own = states[order], ids[order] % MEMBERS
         shares = np.empty(len(order))
         pulled = np.empty_like(ordered)
+        safe = _safe(self.p["wh"], self.p["bh"])
         for k in range(HEAD_CLASSES):
             part = slice(cuts[k], cuts[k + 1])
             m = part.stop - part.start
@@ -190,7 +205,7 @@ class Network:
             s, wh = ordered[part], self.p["wh"][words]
             w = s @ wh.T
             w += self.p["bh"][words]
-            sums = _exponentials(w, wh.T, self.p["bh"][words])
+            sums = _exponentials(w, safe)
             i = np.arange(m)
             shares[part] = w[i, own[part]] / sums
             if grad is not None:
@@ -213,8 +228,11 @@ class Network:
         t_n, b_n, m = states.shape
         states = np.ascontiguousarray(states)
         real = ids.reshape(-1) >= 0
-        back = np.zeros((t_n * b_n, m), np.float32)
-        back[real] = self.log_probability(states.reshape(-1, m)[real], ids.reshape(-1)[real], v, grad)[1]
+        if real.all():
+            back = self.log_probability(states.reshape(-1, m), ids.reshape(-1), v, grad)[1]
+        else:
+            back = np.zeros((t_n * b_n, m), np.float32)
+            back[real] = self.log_probability(states.reshape(-1, m)[real], ids.reshape(-1)[real], v, grad)[1]
         back = np.ascontiguousarray(back.reshape(t_n, b_n, m).transpose(0, 2, 1))
         da = np.empty((t_n, 3 * m, b_n), np.float32)
         dh = np.zeros((m, b_n), np.float32)
@@ -398,9 +416,9 @@ def vocabulary(counts: DataFrame, size: int = TABLE) -> tuple[Vocabulary, float]
 
 
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id, held_out, text key, ids (the end last) and rare: the words outside the table by hash, with how often."""
+    """doc_id, held_out, text key, ids (the end last) and rare: hashes of the words outside the table, repeats included."""
     fields = [pa.field("doc_id", pa.int64()), pa.field("held_out", pa.bool_()), pa.field(TEXT_KEY[0], pa.int64()), pa.field(TEXT_KEY[1], pa.int32()), pa.field("ids", pa.list_(pa.int32())),
-              pa.field("rare", pa.list_(pa.struct([("h", pa.int64()), ("times", pa.int64())])))]
+              pa.field("rare", pa.list_(pa.int64()))]
     end = np.array([v.n + 1], np.int32)
 
     def run(batches):
@@ -409,14 +427,13 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
             for text in as_bytes(b, "text"):
                 words = text.lower().split()
                 x = v.ids(words)
-                out = Counter(words[i] for i in np.flatnonzero(x == v.n))
-                rare.append([{"h": word_hash(w), "times": n} for w, n in out.items()])
+                rare.append([word_hash(words[i]) for i in np.flatnonzero(x == v.n)])
                 ids += [x, end]
             ends = np.cumsum([0, *(len(x) + 1 for x in ids[::2])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields[:4]), lists, pa.array(rare, fields[5].type)], schema=pa.schema(fields))
 
-    kinds = f"doc_id long, held_out boolean, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, ids array<int>, rare array<struct<h: long, times: long>>"
+    kinds = f"doc_id long, held_out boolean, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, ids array<int>, rare array<long>"
     return _prepared(docs).select("doc_id", "held_out", *TEXT_KEY, "text").mapInArrow(run, kinds)
 
 
@@ -525,7 +542,7 @@ def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
     d = staged(scored(tokens, v, trained(tokens, v)))
     scale = max(v.total + 0.5 * (v.types + 1), 1.0)
     # copies of a text have the same rare words, so these are joined once a text
-    rare = tokens.where("size(rare) > 0").groupBy(*TEXT_KEY).agg(F.any_value("rare").alias("rare")).select(*TEXT_KEY, F.inline("rare"))
+    rare = tokens.where("size(rare) > 0").groupBy(*TEXT_KEY).agg(F.any_value("rare").alias("rare")).select(*TEXT_KEY, F.explode("rare").alias("h"), F.lit(1).alias("times"))
     rare = rare.join(counts.where("h IS NOT NULL AND c > 0"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     within = F.when(F.col("c") > 0, F.log10(F.col("c") * F.lit((1 - unseen) / max(v.rare, 1.0)))).otherwise(F.lit(float(np.log10(unseen))))
     texts = rare.groupBy(*TEXT_KEY).agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("r_known"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import OWN, as_bytes, join_small, nullable_key, slices, staged, table
@@ -14,6 +16,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2
 #: A rank is a long below 2**54; the threshold search reads 12 bits of it at a time.
 RANK_BITS, STEP, LEVELS = 54, 12, 3
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -28,103 +31,156 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(count, "doc_id long, source string, size long")
 
 
+def _level(over: list[str], amount: Column, cap: Column, weight: Column, tie: str) -> Column:
+    """The height of water poured into the rows of a group: what a unit of weight gets, when no row holds more than its cap.
+
+    The group's is the least of the structs given.
+
+    Resharing the excess by weight until none is above its cap comes to this: with the rows in order of
+    cap / weight, those below the level are full, and the first that is not gives the level. Null where all rows are full.
+    """
+    ratio = cap / weight
+    order = Window.partitionBy(*over).orderBy(ratio, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*over)
+    level = F.try_divide(F.greatest(F.lit(0.0), amount - F.sum(cap).over(order) + cap), F.sum(weight).over(every) - F.sum(weight).over(order) + weight)
+    return F.when(level < ratio, F.struct(ratio.alias("ratio"), F.col(tie).alias("tie"), level.alias("level")))
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """Target words of each source: weights share total x all words; none exceeds most x its own words.
 
-    Resharing the excess by weight until none is above its limit is water filling:
-    with the sources in order of limit / weight, those below the level are full.
-    One row a source goes through the two windows; the rows are already summed.
+    One row a source goes through one window, already summed: the contract ranks all sources by name.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    s = s.withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("g", F.lit(0))
     s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("w"))
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy("ratio", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("all", F.sum("source_size").over(every) * float(total)).withColumn("all_w", F.sum("w").over(every))
-    s = s.withColumn("before", F.sum("cap").over(order) - F.col("cap")).withColumn("w_left", F.col("all_w") - F.sum("w").over(order) + F.col("w"))
-    # what a unit of weight gets if every source before this one is full
-    s = s.withColumn("level", F.expr("try_divide(greatest(0D, all - before), w_left)"))
-    s = s.withColumn("open", F.when(F.col("level") < F.col("ratio"), F.col("level")))
-    s = s.withColumn("level", F.first("open", ignorenulls=True).over(
-        Window.orderBy("ratio", "i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    s = s.withColumn("cap", F.col("source_size") * float(most)).withColumn("all", F.sum("source_size").over(Window.partitionBy("g")) * float(total))
+    s = s.withColumn("level", _level(["g"], F.col("all"), F.col("cap"), F.col("w"), "i")).withColumn("level", F.min("level").over(Window.partitionBy("g"))["level"])
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def length_class(size: Column) -> Column:
+    """Binary digits of a document's words, 0 for none: documents of a class are as likely to be taken as each other."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(F.lit(0)).cast("int")
+
+
+def _rank(doc_id: Column, inclusion: Column, seed: int) -> Column:
+    """Pareto order: odds of a uniform number made of doc_id over the odds of inclusion, as a long that orders like it."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(doc_id, F.lit(-1))), 11) + 0.5) / float(1 << 53)
+    odds = F.ln(u / (1 - u)) - F.ln(inclusion / (1 - inclusion))
+    return F.least(F.lit((1 << RANK_BITS) - 1), F.greatest(F.lit(0), F.floor((odds + 100) * float(1 << 46)))).cast("long")
+
+
+def shares(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
+    """A row a source and length class: __fs_s, __fs_c, source_size, target, copies (whole, certain), inclusion (of one more) and rest.
+
+    Expected copies of a document grow with its length class, up to `most`: a = min(most, level x class), with the level
+    such that the source's words come to its target. floor(a) copies are certain, the rest of a is the inclusion
+    probability. rest is the source's words that the sampled copies come to.
+    """
+    t = source_targets(sizes, weights, total, most).withColumn(f"{OWN}s", nullable_key("source")).drop("source")
+    c = sizes.groupBy(nullable_key("source").alias(f"{OWN}s"), length_class(F.col("size")).alias(f"{OWN}c")).agg(F.sum("size").cast("double").alias("words"))
+    c = staged(join_small(c, staged(t), [f"{OWN}s"]))
+    own = Window.partitionBy(f"{OWN}s")
+    weight = F.col("words") * F.col(f"{OWN}c")
+    live = c.where("words > 0").withColumn("level", _level([f"{OWN}s"], F.col("target"), F.col("words") * float(most), weight, f"{OWN}c"))
+    live = live.withColumn("level", F.min("level").over(own)["level"])
+    a = F.coalesce(F.least(F.lit(float(most)), F.col("level") * F.col(f"{OWN}c")), F.lit(float(most)))
+    live = live.withColumn("copies", F.floor(a + 1e-9)).withColumn("inclusion", F.greatest(F.lit(0.0), a - F.col("copies")))
+    live = live.withColumn("inclusion", F.when(F.col("inclusion") > 1e-9, F.col("inclusion")).otherwise(F.lit(0.0)))
+    rest = F.floor(F.col("target") - F.sum(F.col("copies") * F.col("words")).over(own) + 1e-6)
+    live = live.withColumn("rest", F.when(F.col("inclusion") > 0, F.greatest(F.lit(0), rest)).otherwise(F.lit(0)).cast("long"))
+    empty = c.where("words <= 0").withColumns({"copies": F.lit(0), "inclusion": F.lit(0.0), "rest": F.lit(0)})
+    names = [f"{OWN}s", f"{OWN}c", "source_size", "target", F.col("copies").cast("long").alias("copies"), "inclusion", F.col("rest").cast("long").alias("rest")]
+    return staged(live.select(*names).union(empty.select(*names)))
+
+
+def thresholds(sizes: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """A row a source whose sample is cut: __fs_s, bin (of ranks), left (words to take from the bin) and bin_words.
+
+    Three rounds of sums over 4,096 bins find the bin where the words of a source's documents in Pareto
+    order reach its rest, so no source, however large, is ordered in one task.
+    """
+    d = sizes.select("doc_id", "size", nullable_key("source").alias(f"{OWN}s"), length_class(F.col("size")).alias(f"{OWN}c"))
+    d = join_small(d.where("size > 0"), classes.where("inclusion > 0").select(f"{OWN}s", f"{OWN}c", "inclusion", "rest"), [f"{OWN}s", f"{OWN}c"], "inner")
+    d = d.withColumn("rank", _rank(F.col("doc_id"), F.col("inclusion"), seed))
+    at = None
+    for level in range(LEVELS):
+        shift = RANK_BITS - STEP * (level + 1)
+        live = d.withColumn("left", F.col("rest")) if at is None else join_small(d, at, [f"{OWN}s"], "inner").where(F.shiftright("rank", shift + STEP) == F.col("bin")).drop("bin")
+        bins = live.groupBy(f"{OWN}s", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"), F.max("left").alias("left"))
+        upto = F.sum("words").over(Window.partitionBy(f"{OWN}s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        at = bins.withColumn("upto", upto).where("upto >= left AND upto - words < left")
+        at = staged(at.select(f"{OWN}s", "bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), *[F.col("words").alias("bin_words")] * (level == LEVELS - 1)))
+    return at
+
+
+def with_taken(docs: DataFrame, doc_id: Column, source: str, size: Column, classes: DataFrame, at: DataFrame, seed: int) -> DataFrame:
+    """docs with __fs_taken, source_size and target. Both small tables are broadcast after their rows are counted; docs isn't shuffled then."""
+    d = docs.withColumns({f"{OWN}s": nullable_key(source), f"{OWN}c": length_class(size)})
+    d = join_small(d, classes.select(f"{OWN}s", f"{OWN}c", *[F.col(c).alias(f"{OWN}{c}") for c in ("source_size", "target", "copies", "inclusion", "rest")]), [f"{OWN}s", f"{OWN}c"])
+    d = join_small(d, at.select(f"{OWN}s", *[F.col(c).alias(f"{OWN}{c}") for c in ("bin", "left", "bin_words")]), [f"{OWN}s"])
+    own = F.shiftright(_rank(doc_id, F.col(f"{OWN}inclusion"), seed), RANK_BITS - STEP * LEVELS)
+    cut = F.floor(size.cast("decimal(38,0)") * F.col(f"{OWN}left") / F.col(f"{OWN}bin_words")).cast("long")
+    part = F.when((F.col(f"{OWN}rest") <= 0) | (F.col(f"{OWN}inclusion") <= 0) | (size <= 0), F.lit(0)).when(F.col(f"{OWN}bin").isNull() | (own < F.col(f"{OWN}bin")), size).when(own > F.col(f"{OWN}bin"), F.lit(0)).otherwise(cut)
+    return d.withColumn(f"{OWN}taken", (F.col(f"{OWN}copies") * size + part).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document.
 
-    Every document of a source gets floor(target / source_size) certain whole copies. The
-    rest of the target goes by Pareto order sampling: rank = odds(u) / odds(inclusion) with
-    u a hash of doc_id, smallest first up to the words that are left; the inclusion
-    probability differs between sources. The threshold rank is found by three rounds of
-    4,096-bin sums, so no source, however large, is ordered in one task. Documents that share
-    the threshold's last bin (one, as a rule; all rows of a repeated id) share what is left.
+    A source's target is divided by shares(): documents of more words are expected in more copies. Certain whole
+    copies come first. The rest goes by Pareto order sampling at unequal probabilities: rank = odds(u) /
+    odds(inclusion) with u a hash of doc_id, smallest first up to the words that are left (thresholds()).
+    Documents that share the threshold's last bin (one, as a rule; all rows of a repeated id) share what is left.
 
     Nulls: a null text has size 0, a null source is a source of its own, last in order, a null
     doc_id hashes like a value. Empty texts take 0. Repeated rows count each and get equal parts.
     Empty tables give none. Extra columns are not read. Reruns agree: nothing depends on row order.
     """
     d = staged(word_sizes(docs))
-    t = staged(source_targets(d, weights, total, most).withColumn(f"{OWN}s", nullable_key("source")).drop("source"))
-    d = join_small(d.withColumn(f"{OWN}s", nullable_key("source")), t, [f"{OWN}s"])
-    d = d.withColumn("copies", F.coalesce(F.expr("floor(try_divide(target, source_size))"), F.lit(0)).cast("long"))
-    d = d.withColumn("rest", F.floor(F.col("target") - F.col("copies") * F.col("source_size")).cast("long"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), 11) + 0.5) / float(1 << 53)
-    odds = F.expr("try_divide(rest, source_size - rest)")
-    d = d.withColumn("rank", F.least(F.lit((1 << RANK_BITS) - 1), F.greatest(F.lit(0), F.floor(
-        (F.ln(u / (1 - u)) - F.ln(F.greatest(odds, F.lit(1e-12))) + 100) * float(1 << 46)))).cast("long"))
-    # at[s]: the bins so far that hold source s's threshold, and the words left when they begin
-    at = None
-    for level in range(LEVELS):
-        shift = RANK_BITS - STEP * (level + 1)
-        live = d.where("rest > 0 AND size > 0")
-        if at is None:
-            live = live.withColumn("left", F.col("rest"))
-        else:
-            live = join_small(live, at, [f"{OWN}s"], "inner").where(F.shiftright("rank", shift + STEP) == F.col("bin")).drop("bin")
-        bins = live.groupBy(f"{OWN}s", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"), F.max("left").alias("left"))
-        upto = F.sum("words").over(Window.partitionBy(f"{OWN}s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        at = staged(bins.withColumn("upto", upto).where("upto >= left AND upto - words < left").select(
-            f"{OWN}s", "bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "words"))
-        if level < LEVELS - 1:
-            at = at.drop("words")
-    d = join_small(d, at, [f"{OWN}s"])
-    own = F.shiftright("rank", RANK_BITS - STEP * LEVELS)
-    part = F.when(F.col("rest") <= 0, 0).when(F.col("bin").isNull() | (own < F.col("bin")), F.col("size")).when(own > F.col("bin"), 0)
-    part = part.otherwise(F.expr("CAST(floor(CAST(size AS DECIMAL(38,0)) * left / words) AS BIGINT)"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + part).cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """documents as the mix takes them: a row for each copy; a copy taken in part keeps its first words."""
-    taken = mix(docs, **how).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    names = docs.columns
+    classes = shares(d, weights, total, most)
+    out = with_taken(d, F.col("doc_id"), "source", F.col("size"), classes, thresholds(d, classes, seed), seed)
+    return out.select("doc_id", "size", F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), F.col(f"{OWN}taken").alias("taken"))
 
-    def cut(batches):
-        for b in slices(batches):
-            t = b.schema.get_field_index("text")
-            out = []
-            for text, n in zip(as_bytes(b, "text"), b.column(f"{OWN}words").to_pylist()):
-                if n is None:
-                    out.append(text.decode())
-                else:
-                    out.append(b" ".join(text.split(None, n)[:n]).decode())
-            a = [pa.array(out, b.schema.field(t).type) if i == t else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(a, names=names)
+
+def first_words(text: bytes, n: int) -> bytes:
+    """The text up to the end of its nth word, as it stands."""
+    for i, m in enumerate(_WORD.finditer(text), 1):
+        if i == n:
+            return text[:m.end()]
+    return text
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 7) -> DataFrame:
+    """documents as the mix takes them: a row for each copy; a copy taken in part is the text up to the last word taken.
+
+    Texts are read where they stand: only sums by source and length class are shuffled. Null texts and texts without words
+    are never taken. Nulls otherwise, repeated rows and empty tables as in mix(); extra columns pass through.
+    """
+    sizes = staged(word_sizes(docs))
+    classes = shares(sizes, weights, total, most)
+    at = thresholds(sizes, classes, seed)
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def size(batches):
         for b in slices(batches):
             n = pa.array([len(x.split()) for x in as_bytes(b, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*names, f"{OWN}n"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    d = docs.mapInArrow(size, f"{schema}, {OWN}n long")
-    taken = taken.select(F.col("doc_id").alias(f"{OWN}id"), F.col("size").alias(f"{OWN}size"), F.col("taken").alias(f"{OWN}taken"))
-    d = d.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}id")) & (F.col(f"{OWN}n") == F.col(f"{OWN}size")))
-    d = d.where(f"{OWN}taken > 0")
-    d = d.withColumn(f"{OWN}copy", F.explode(F.expr(f"sequence(1L, CAST(ceil({OWN}taken / {OWN}size) AS BIGINT))")))
-    d = d.withColumn(f"{OWN}words", F.expr(f"CASE WHEN {OWN}copy * {OWN}size > {OWN}taken THEN {OWN}taken - ({OWN}copy - 1) * {OWN}size END"))
+    def cut(batches):
+        for b in slices(batches):
+            t = b.schema.get_field_index("text")
+            words = b.column(f"{OWN}words").to_pylist()
+            text = b.column(t)
+            if any(n is not None for n in words):
+                text = pa.array([x if n is None else first_words(x, n) for x, n in zip(as_bytes(b, "text"), words)], pa.binary()).cast(b.schema.field(t).type)
+            yield pa.RecordBatch.from_arrays([text if i == t else b.column(i) for i in range(len(names))], names=names)
+
+    d = with_taken(docs.mapInArrow(size, f"{schema}, {OWN}n long"), F.col("doc_id").cast("long"), "source", F.col(f"{OWN}n"), classes, at, seed).where(f"{OWN}taken > 0")
+    d = d.withColumn(f"{OWN}copy", F.explode(F.expr(f"sequence(1L, CAST(ceil({OWN}taken / {OWN}n) AS BIGINT))")))
+    d = d.withColumn(f"{OWN}words", F.expr(f"CASE WHEN {OWN}copy * {OWN}n > {OWN}taken THEN {OWN}taken - ({OWN}copy - 1) * {OWN}n END"))
     return d.select(*names, f"{OWN}words").mapInArrow(cut, schema)
 
 

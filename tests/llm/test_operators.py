@@ -350,3 +350,38 @@ def test_the_network_trains_on_every_token(spark, monkeypatch):
     monkeypatch.setattr(gru, "train_on", count)
     monkeypatch.setattr(gru, "SCORE_TOKENS", 1000)
     assert round(float(gru.trained(gru.encoded(df, v), v).flat[0] - start[0])) == v.total
+
+
+def test_mix_prefers_longer_documents_at_unequal_probabilities(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.choice([3, 40, 700])), "a" if i % 3 else "b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.word_sizes(df)
+    classes = mixing.shares(sizes).collect()
+    for s in {r["__fs_s"] for r in classes}:
+        own = sorted((r for r in classes if r["__fs_s"] == s), key=lambda r: r["__fs_c"])
+        expected = [r["copies"] + r["inclusion"] for r in own]
+        assert expected == sorted(expected) and len({round(x, 6) for x in expected}) > 1
+        words = {r["__fs_c"]: sum(len(t.split()) for _, t, src in rows if f"s{src}" == s and len(t.split()).bit_length() == r["__fs_c"]) for r in own}
+        assert sum(e * words[r["__fs_c"]] for e, r in zip(expected, own)) == pytest.approx(own[0]["target"])
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    share = lambda n: np.mean([got[i]["taken"] / n for i, t, s in rows if s == "b" and len(t.split()) == n])
+    by = {r["__fs_c"]: r["copies"] + r["inclusion"] for r in classes if r["__fs_s"] == "sb"}
+    assert all(share(n) == pytest.approx(by[n.bit_length()], abs=0.12) for n in (3, 40, 700))
+
+
+def test_mixed_documents_keep_their_layout(spark):
+    rows = [(i, f"  line {i}\n\tnext  line\n\nlast", "s" if i % 2 else None, i) for i in range(50)] + [(90, None, "s", 1), (91, " ", "s", 1), (None, "a b", "s", 2), (3, rows_text := "x\ny", "s", 5), (3, rows_text, "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target long")
+    taken = {r["doc_id"]: r for r in mixing.mix(df).collect() if r["doc_id"] not in (None, 3)}
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    kept: dict = {}
+    for r in out.collect():
+        kept.setdefault(r["doc_id"], []).append(r["text"])
+    text = {r[0]: r[1] for r in rows}
+    for i, r in taken.items():
+        parts = kept.get(i, [])
+        assert sum(len(t.split()) for t in parts) == r["taken"] and all(text[i].startswith(t) for t in parts)
+    assert 90 not in kept and 91 not in kept
+    assert mixing.mixed_documents(df.where("false")).count() == 0
