@@ -226,9 +226,9 @@ def minima(hashes: np.ndarray, scales: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = WIDE) -> DataFrame:
-    """doc_id, fp (SimHash), k and k2 (equal for equal shingle sets), n (different shingles), bands, sketch (shingles by residue class); no null doc_ids."""
+    """doc_id, fp (SimHash), k and k2 (equal for equal shingle sets), n (different shingles) and bands; no null doc_ids."""
     scales = np.random.default_rng(7).integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in slices(batches):
@@ -240,15 +240,36 @@ def signatures(docs: DataFrame, shingle: int = WIDE) -> DataFrame:
                 bands = [_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in low.reshape(BANDS, BAND)]
                 whole = xxhash.xxh3_128_digest(one.tobytes())
                 k, k2 = np.frombuffer(whole, np.int64).tolist()
-                rows.append((i, _signed(bit_majority(every)), k, k2, len(one), bands, np.bincount(one & np.uint64(CLASSES - 1), minlength=CLASSES).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+                rows.append((i, _signed(bit_majority(every)), k, k2, len(one), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long, k long, k2 long, n long, bands array<long>, sketch binary")
+    return d.mapInArrow(run, "doc_id long, fp long, k long, k2 long, n long, bands array<long>")
+
+
+def sketches(docs: DataFrame, wanted: DataFrame, shingle: int = WIDE) -> DataFrame:
+    """For wanted (node, k): node, k, n and sketch, its shingles counted by residue class. Only these texts are walked again."""
+
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for i, t in zip(b.column("node").to_pylist(), as_bytes(b, "t")):
+                one = np.unique(shingle_hashes(t, shingle))
+                k = int(np.frombuffer(xxhash.xxh3_128_digest(one.tobytes()), np.int64)[0])
+                rows.append((i, k, len(one), np.bincount(one & np.uint64(CLASSES - 1), minlength=CLASSES).astype(np.int32).tobytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["node", "k", "n", "sketch"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("t")).join(wanted.select("node").distinct(), "node", "left_semi")
+    found = texts.mapInArrow(run, "node long, k long, n long, sketch binary").groupBy("node", "k").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return found.join(wanted.select("node", "k").distinct(), ["node", "k"], "left_semi")
 
 
 def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE) -> DataFrame:
-    """a, b, ok: whether the texts of doc_ids a and b share so much of their shingle sets (Jaccard), counted exactly."""
+    """a, b, ok: whether the texts of doc_ids a and b share so much of their shingle sets (Jaccard), counted exactly.
+
+    Edges of a group have one end, a, in common, as a rule: its shingles are made once for all of them.
+    """
 
     def run(batches):
         last, held = None, None
@@ -262,25 +283,32 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shi
                 ok.append(both >= similarity * (len(held) + len(other) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
+    # texts stand once an id and different text, however often the row is repeated, and go once to each edge's end b and once to each a
     need = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).join(need, "id", "left_semi").distinct()
-    texts = staged(texts)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    texts = staged(texts.join(need, "id", "left_semi").withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"]))
     pairs = edges.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
-def unlinked(left: DataFrame, nodes: DataFrame, labels: DataFrame, decided: DataFrame, most: int, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket but different labels, not decided yet, that can be so similar.
+def open_buckets(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (band, key, node) of the buckets whose members are not all in one component; once joined, a bucket stays closed."""
+    rows = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
+    return left.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+
+
+def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: DataFrame, most: int, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one open bucket but different labels, not decided yet, that can be so similar.
 
     Two sets share at most the sum of the lesser of their counts by residue class, so no pair
     that is left out is similar. Buckets are compared in pairs of blocks; in each, the `most` likeliest pairs of
     two labels are given.
     """
-    named = nodes.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = sketched.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     missed = decided.where("NOT ok").groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("missed"))
-    rows = left.select("band", "key", "node").distinct().join(named.select("node", "label"), "node")
-    mixed = rows.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c")).where("l < h")
-    rows = rows.join(mixed.select("band", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), ["band", "key"])
+    counts = left.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = left.join(counts, ["band", "key"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
     rows = rows.join(named, "node").join(missed, "node", "left")
@@ -338,8 +366,8 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, b
 
     Candidates share a SimHash class (fingerprints linked within 2 bits by generalised
     pigeonhole) or a band of minima: at similarity 0.8 fingerprints of 64 bits differ in about
-    10, which no partition of them can select. Each bucket's members are compared with its
-    smallest and its largest member first, which joins most of a group. Then all members of a bucket that
+    10, which no partition of them can select. Each text is compared with one smallest member of
+    its buckets first, which joins most of a group. Then all members of a bucket that
     are still in different components are compared by unlinked(), and what can be similar is counted
     on whole shingle sets, until no pair of a bucket is open. So the components are those of all
     similar pairs in buckets, and no bucket emits all its pairs.
@@ -347,25 +375,30 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, b
     Two texts under one doc_id count as linked. Empty tables give none; extra columns are not read.
     """
     d = staged(signatures(docs, shingle))
-    first = [F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch"))]
-    nodes = staged(d.groupBy("k", "k2").agg(F.min("doc_id").alias("node"), *first))
+    nodes = staged(d.groupBy("k", "k2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     classes = components(links(staged(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "label")
-    left = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    left = left.unionByName(nodes.join(classes, "fp", "left").select("node", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key")))
-    ends = left.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"), F.count("*").alias("c")).where("c > 1")
+    left = nodes.select("node", "k", "n", F.posexplode("bands").alias("band", "key"))
+    left = left.unionByName(nodes.join(classes, "fp", "left").select("node", "k", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key")))
+    ends = left.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     left = staged(left.join(ends, ["band", "key"]))
-    hubs = left.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.explode(F.array("low", "high")).alias("hub"))
-    hubs = hubs.where(F.col("x") != F.col("hub.node")).where(F.least("xn", "hub.n") >= similarity * F.greatest("xn", "hub.n"))
-    edges = hubs.select(F.least("x", "hub.node").alias("a"), F.greatest("x", "hub.node").alias("b")).distinct()
+    # of the smallest members of its buckets, each text meets the one that it shares most buckets with: one edge a text
+    hubs = left.where(F.col("node") != F.col("hub.node")).where(F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n"))
+    hubs = hubs.groupBy(F.col("node").alias("b"), F.col("hub.node").alias("a")).agg(F.count("*").alias("shared"))
+    edges = hubs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     decided = staged(verified(staged(edges), docs, similarity, shingle))
+    labels = staged(components(decided.where("ok").select("a", "b")))
+    left = staged(open_buckets(left.select("band", "key", "node", "k").distinct(), labels))
+    sketched = staged(sketches(docs, left, shingle))
+    left = left.select("band", "key", "node").distinct()
     most = 1
     while True:
-        labels = staged(components(decided.where("ok").select("a", "b")))
-        edges = staged(unlinked(left, nodes, labels, decided, most, similarity, block))
+        edges = staged(unlinked(left, sketched, labels, decided, most, similarity, block))
         if edges.isEmpty():
             break
         decided = staged(decided.union(verified(edges, docs, similarity, shingle)))
-        most *= 16
+        labels = staged(components(decided.where("ok").select("a", "b")))
+        left = staged(open_buckets(left, labels))
+        most *= 64
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component_id"))
 
 
