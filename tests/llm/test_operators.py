@@ -170,8 +170,7 @@ def test_mined_url_rules(spark):
 
 def test_topk_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
-    monkeypatch.setattr(topk, "LEAF", 40)
-    monkeypatch.setattr(topk, "GROUP", 4)
+    monkeypatch.setattr(topk, "BLOCK", 40)
     x = rng.normal(size=(400, 6)) / 3 + rng.integers(-4, 5, size=(400, 1))
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x.astype(np.float32))]
     rows += [(1000, None, 0), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (1100, [float("nan")] * 6, 0), (1150, [1.0, 2.0], 0), (1151, [2.0, 2.0], 0), (50, rows[50][1], 0), (1200, [], 0), (None, rows[3][1], 0)]
@@ -385,3 +384,39 @@ def test_mixed_documents_keep_their_layout(spark):
         assert sum(len(t.split()) for t in parts) == r["taken"] and all(text[i].startswith(t) for t in parts)
     assert 90 not in kept and 91 not in kept
     assert mixing.mixed_documents(df.where("false")).count() == 0
+
+
+def test_cover_trees_are_nested_covering_and_separated():
+    rng = np.random.default_rng(13)
+    for x in (np.floor(rng.normal(size=(500, 5)) * 100), np.repeat(np.floor(rng.normal(size=(9, 3)) * 50), 40, axis=0), np.zeros((70, 4)), np.full((3, 2), 1e300)):
+        order, nodes = topk.grow(x, 16)
+        y = x[order]
+        assert sorted(order) == list(range(len(x))) and (nodes[0, 1:3] == [0, len(x)]).all()
+        if len(nodes) == 1:
+            continue
+        top = np.sqrt(((y - y[int(nodes[0, topk.CENTRE])]) ** 2).sum(axis=1)).max()
+        for i in range(int(nodes[:, topk.LEVEL].max()) + 1):
+            level = nodes[nodes[:, topk.LEVEL] == i]
+            assert level[0, topk.START] == 0 and (level[1:, topk.START] == level[:-1, topk.END]).all() and level[-1, topk.END] == len(x)
+            c = y[level[:, topk.CENTRE].astype(int)]
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))[~np.eye(len(c), dtype=bool)]
+            assert i == 0 or apart.min() > top / 2 ** i
+            if i:
+                above = {tuple(v) for v in y[nodes[nodes[:, topk.LEVEL] == i - 1][:, topk.CENTRE].astype(int)]}
+                assert above <= {tuple(v) for v in c}
+            for n in level:
+                far = np.sqrt(((y[int(n[topk.START]):int(n[topk.END])] - y[int(n[topk.CENTRE])]) ** 2).sum(axis=1)).max()
+                assert far <= n[topk.RADIUS] + 1e-6
+
+
+def test_clustered_vectors_are_pruned_at_the_usual_sizes(spark):
+    rng = np.random.default_rng(14)
+    heart = rng.normal(size=(40, 16))
+    x = heart[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    got = topk.pruning(df)
+    assert got["data_blocks"] > 20 and got["query_blocks"] > 1 and got["block_pairs_pruned"] + got["node_pairs_pruned"] > 100, got
+    v = np.floor(256 * x.astype(np.float32).astype(float)).astype(int)
+    want = sorted((q, n, j, -s) for q in range(0, 3000, 50) for n, (s, j) in enumerate(sorted((-int(a), j) for j, a in enumerate(v @ v[q]) if j != q)[:5], 1))
+    assert sorted(tuple(r) for r in topk.search(df).collect()) == want
