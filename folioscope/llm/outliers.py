@@ -108,8 +108,8 @@ def _inverted(batches):
             c = np.array([[getattr(r, f"c{min(i, j)}{max(i, j)}") for j in range(P)] for i in range(P)]) / n - np.outer(m, m)
             c = FACTOR * c + np.diag(np.array(FLOORS) ** 2)
             inv = np.linalg.inv(c)
-            out.append((r.g, *m, *[inv[i, j] for i in range(P) for j in range(i, P)], float(np.linalg.slogdet(c)[1])))
-        yield pd.DataFrame(out, columns=_PARAMS)
+            out.append((r.g, r.start, *m, *[inv[i, j] for i in range(P) for j in range(i, P)], float(np.linalg.slogdet(c)[1])))
+        yield pd.DataFrame(out, columns=["g", "start", *_PARAMS[1:]])
 
 
 _PARAMS = ["g", *[f"m{i}" for i in range(P)], *[f"p{i}{j}" for i in range(P) for j in range(i, P)], "logdet"]
@@ -118,23 +118,34 @@ _PARAMS = ["g", *[f"m{i}" for i in range(P)], *[f"p{i}{j}" for i in range(P) for
 def covariance_estimates(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
     """Per group g the centre and inverse scatter of its smallest-determinant subset (g, x0.. -> m.., p.., logdet).
 
-    Start: medians and median deviations. Concentration steps: keep the `share` nearest of each
-    group (its distance quantile), take mean and covariance, measure again; each step can only lower
-    the determinant. All are grouped sums; nothing but a row a group is ever held.
+    Three starts: medians with median deviations, medians with the floors alone, and the plain mean and covariance. From each,
+    concentration steps: keep the `share` nearest of the group (its distance quantile, to 1 in 10,000 of the rows; ties at it stay in),
+    take mean and covariance, measure again; a step lowers the determinant or leaves it. The start that ends with the smallest determinant gives the
+    estimate. All are grouped sums; nothing but three rows a group is ever held.
     """
-    med = vectors.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)])
-    med = staged(med)
-    dev = join_small(vectors, med, ["g"]).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i in range(P)])
-    scale = [1 / (F.pow(F.col(f"d{i}") * 1.4826, 2) + f * f) for i, f in enumerate(FLOORS)]
-    params = staged(dev.select("g", *[f"m{i}" for i in range(P)], *[(scale[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(P) for j in range(i, P)], F.lit(0.0).alias("logdet")))
+    xs = [f"x{i}" for i in range(P)]
+    names = ["g", "start", *_PARAMS[1:]]
+
+    def estimated(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
+                                              *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)])
+        return sums.mapInPandas(_inverted, "g string, start int, " + ", ".join(f"{c} double" for c in _PARAMS[1:]))
+
+    med = staged(vectors.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs)]))
+    dev = join_small(vectors, med, ["g"]).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i, x in enumerate(xs)])
+    dev = staged(dev)
+    starts = estimated(vectors.withColumn("start", F.lit(2))).select(*names)
+    for start, own in ((0, True), (1, False)):
+        scale = [1 / ((F.pow(F.col(f"d{i}") * 1.4826, 2) if own else F.lit(0.0)) + f * f) for i, f in enumerate(FLOORS)]
+        diagonal = [(scale[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(P) for j in range(i, P)]
+        starts = starts.union(dev.select("g", F.lit(start).alias("start"), *[f"m{i}" for i in range(P)], *diagonal, F.lit(0.0).alias("logdet")))
+    params = staged(starts)
     for _ in range(steps):
-        far = join_small(vectors, params, ["g"]).withColumn("far", _distance()).select("g", "far", *[f"x{i}" for i in range(P)])
-        cut = staged(far.groupBy("g").agg(F.percentile_approx("far", share, 2000).alias("cut")))
-        near = join_small(far, cut, ["g"]).where("far <= cut")
-        sums = near.groupBy("g").agg(F.count("*").cast("double").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)],
-                                     *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)])
-        params = staged(sums.mapInPandas(_inverted, "g string, " + ", ".join(f"{c} double" for c in _PARAMS[1:])))
-    return params
+        far = join_small(vectors, params, ["g"], "inner").withColumn("far", _distance()).select("g", "start", "far", *xs)
+        cut = staged(far.groupBy("g", "start").agg(F.percentile_approx("far", share, 10_000).alias("cut")))
+        params = staged(estimated(join_small(far, cut, ["g", "start"]).where("far <= cut")))
+    best = params.groupBy("g").agg(F.min_by(F.struct(*_PARAMS[1:]), F.struct("logdet", "start")).alias("p"))
+    return staged(best.select("g", "p.*"))
 
 
 def judge(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP, **how) -> DataFrame:
@@ -142,7 +153,8 @@ def judge(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP, **h
 
     kept is false if base_failed, else true unless the text's statistic vector is further than
     `cut` from its language and source's robust centre. Estimates are over all texts that pass
-    the base rules.
+    the base rules. A language and source of fewer than `least_group` such texts is judged by the estimate of its whole
+    language, and that, if it has fewer too, by the estimate of all texts.
 
     Nulls: a null text has no words and fails; null lang or source are groups of their own; null
     doc_ids keep their rows. Repeated rows count each. Empty tables give none. Extra columns are

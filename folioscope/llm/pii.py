@@ -83,12 +83,12 @@ def _hash(word: str) -> int:
 
 
 def company(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """entity, term, context: words around each mention; context is a hash of the window, so that copies count once."""
+    """A row a mention: entity, text key, context and terms, the different words around it; context is a hash of them in order."""
 
     def run(batches):
         for b in slices(batches):
             rows = []
-            for text in as_text(b, "text"):
+            for k, k2, text in zip(b.column(TEXT_KEY[0]).to_pylist(), b.column(TEXT_KEY[1]).to_pylist(), as_text(b, "text")):
                 spans = base_spans(text)
                 if not spans:
                     continue
@@ -104,13 +104,13 @@ def company(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     at = max(0, int(np.searchsorted(starts, s, "right")) - 1)
                     near = [i for i in range(max(0, at - window), min(len(words), at + window + 1)) if i not in hit]
                     terms = [text[words[i][0]:words[i][1]].lower() for i in near]
-                    context = _hash(" ".join(terms))
-                    own = entity(kind, text[s:e])
-                    rows += [(own, t, context) for t in sorted(set(terms))]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["entity", "term", "context"])
+                    rows.append((entity(kind, text[s:e]), k, k2, _hash(" ".join(terms)), sorted(set(terms))))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["entity", *TEXT_KEY, "context", "terms"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entity string, term string, context long")
+    keyed = docs.select(F.col("text").cast("string").alias("text")).select("text", *text_key())
+    return keyed.mapInArrow(run, f"entity string, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, context long, terms array<string>")
 
 
 def word_filter(hashes: DataFrame) -> bytes:
@@ -166,20 +166,22 @@ def occurrences(docs: DataFrame, bits: bytes, places: bool) -> DataFrame:
 def revealing_terms(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, threshold: float = GENERALISE) -> DataFrame:
     """term, share, entity: terms that give away an entity.
 
-    With n texts in all, n(e) of them naming entity e, n(t) holding term t and n(t, e) contexts
-    where t keeps e's company: PMI = log(n n(t,e) / (n(t) n(e))), information IC = log(n / n(e)),
-    share = PMI / IC, at most 1. A term counts from `contexts` different contexts on, so a
-    chance neighbour or a copied text reveals nothing. Counts are over distinct texts.
+    One unit throughout, different texts: with n of them in all, n(e) naming entity e, n(t) holding term t and n(t, e) where t keeps
+    e's company: PMI = log(n n(t,e) / (n(t) n(e))), information IC = log(n / n(e)), share = PMI / IC, at most 1. A term
+    counts only if it keeps that company in `contexts` different contexts, so that a chance neighbour or a passage copied into
+    several texts reveals nothing; an entity of fewer texts can't have such a term and is left out first.
     """
     near = staged(company(docs, window))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_te")).where(F.col("n_te") >= contexts)
-    pairs = staged(pairs)
-    n_e = near.groupBy("entity").agg(F.countDistinct("context").alias("n_e"))
+    n_e = near.select("entity", *TEXT_KEY).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= contexts)
+    near = join_small(near, staged(n_e), ["entity"], "inner")
+    pairs = near.select("entity", "n_e", "context", *TEXT_KEY, F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "n_e", "term", *TEXT_KEY).agg(F.min("context").alias("context")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"), F.countDistinct("context").alias("contexts"))
+    pairs = staged(both.where(F.col("contexts") >= contexts).drop("contexts"))
     bits = word_filter(staged(pairs.select("term").distinct().mapInArrow(_hashes, "h long")))
     held = occurrences(docs, bits, False).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.select(F.col("text").cast("string").alias("text")).select(*text_key()).distinct().count()
-    scored = pairs.join(held, "term").join(n_e, "entity")
-    pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    scored = pairs.join(held, "term")
+    pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     share = F.expr("CASE WHEN ic > 0 THEN least(1D, pmi / ic) ELSE 0D END")
     scored = scored.withColumn("pmi", pmi).withColumn("ic", F.log(F.lit(float(n)) / F.col("n_e"))).withColumn("share", share)
     return scored.groupBy("term").agg(F.max("share").alias("share"), F.max_by("entity", F.struct("share", "entity")).alias("entity")).where(F.col("share") >= threshold)
@@ -191,11 +193,11 @@ def _hashes(batches):
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """Per distinct text with any: added, an array of (kind, start, end); kind term_removed or term_generalised."""
+    """Per distinct text with any: __fs_added, an array of (kind, start, end); kind term_removed or term_generalised."""
     bits = word_filter(staged(terms.select("term").mapInArrow(_hashes, "h long")))
     kind = F.when(F.col("share") >= remove, "term_removed").otherwise("term_generalised")
     found = join_small(occurrences(docs, bits, True).distinct(), terms.select("term", kind.alias("kind")), ["term"], "inner")
-    return found.groupBy(*TEXT_KEY).agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("added"))
+    return found.groupBy(*TEXT_KEY).agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias(f"{OWN}added"))
 
 
 def shape(word: str) -> str:
@@ -231,12 +233,12 @@ def find_personal_data(docs: DataFrame, texts: bool = False, **how) -> DataFrame
     names = docs.columns if texts else ["doc_id", "text"]
     d = docs.select(*names) if texts else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = join_small(d.select("*", *text_key()), added, TEXT_KEY)
-    d = d.select(*names, "added")
+    d = d.select(*names, f"{OWN}added")
 
     def run(batches):
         for b in slices(batches):
             rows = []
-            for text, more in zip(as_text(b, "text"), b.column("added").to_pylist()):
+            for text, more in zip(as_text(b, "text"), b.column(f"{OWN}added").to_pylist()):
                 base = base_spans(text)
                 taken = sorted((s, e) for _, s, e in base)
                 starts = [s for s, _ in taken]

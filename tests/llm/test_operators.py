@@ -420,3 +420,63 @@ def test_clustered_vectors_are_pruned_at_the_usual_sizes(spark):
     v = np.floor(256 * x.astype(np.float32).astype(float)).astype(int)
     want = sorted((q, n, j, -s) for q in range(0, 3000, 50) for n, (s, j) in enumerate(sorted((-int(a), j) for j, a in enumerate(v @ v[q]) if j != q)[:5], 1))
     assert sorted(tuple(r) for r in topk.search(df).collect()) == want
+
+
+def test_long_urls_and_few_labels_end_soon(spark):
+    long_url = "http://a.org/" + "/".join(f"word{i}" for i in range(500))
+    rows = [(1, long_url + "/1"), (2, "http://b.org/x/2")] + [(100 + i, f"{long_url}/{100 + i}") for i in range(40)] + [(300 + i, f"http://c.org/fine/{300 + i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    few = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in urls.judge(pages, few).collect()} == {"allow"}
+    many = spark.createDataFrame([(i, int(i >= 300), 0) for i, _ in rows if i >= 100], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, many).collect()}
+    assert got == {i: "block" if "word3" in u else "allow" for i, u in rows}
+
+
+def test_mined_rules_against_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(15)
+    rows = []
+    for i in range(600):
+        words = rng.sample("a1 b2 c3 d4 e5 f6".split(), 3)
+        rows.append((f"http://h.org/{'/'.join(words)}/{i}", {"a1", "b2"} <= set(words) or rng.random() < 0.1))
+    got = {tuple(r["antecedent"]): (r["confidence"], r["bad_rows"]) for r in urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    sets = [({f"p:{w}" for w in u.split("/")[3:6]} | {"h:h", "h:org"}, bad) for u, bad in rows]
+    base = sum(b for _, b in sets) / len(sets)
+    want = {}
+    for size in (1, 2, 3):
+        for c in combinations([f"p:{w}" for w in "a1 b2 c3 d4 e5 f6".split()], size):
+            held = [b for t, b in sets if set(c) <= t]
+            if sum(held) >= 20 and sum(held) / len(held) >= max(0.7, 1.5 * base):
+                want[c] = (sum(held) / len(held), sum(held))
+    want = {c: v for c, v in want.items() if not any(set(o) < set(c) and len(o) == len(c) - 1 and want[o][0] >= v[0] for o in want)}
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+    assert ("p:a1", "p:b2") in got
+
+
+def test_personal_data_with_clashing_columns(spark):
+    rows = [(i, f"write to ada{i}@x.org please", "n", 7, 1) for i in range(4)] + [(9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, added string, spans int, term int")
+    out = pii.find_personal_data(df, texts=True)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(df.columns) <= set(out.columns) and got[2]["text"] == "write to [EMAIL] please" and got[2]["added"] == "n" and got[9]["text"] in (None, "")
+
+
+def test_revealing_share_against_brute_force(spark):
+    rng = random.Random(16)
+    rows = [f"noise {rng.random()} the end" for _ in range(50)] + [f"{rng.random()} agent zorro answers bond@mi.org daily {rng.random()}" for _ in range(5)] + [f"zorro was seen {rng.random()}" for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows + rows[-4:])), "doc_id long, text string")
+    got = {r["term"]: r["share"] for r in pii.revealing_terms(df, threshold=0.0).collect()}
+    n, n_e = len(set(rows)), 5
+    for term, n_t in (("zorro", 8), ("agent", 5), ("daily", 5)):
+        assert got[term] == pytest.approx(min(1.0, np.log(n * 5 / (n_t * n_e)) / np.log(n / n_e)))
+
+
+def test_outliers_of_sparse_groups_and_two_clusters(spark):
+    rng = random.Random(17)
+    clean = lambda: " ".join(rng.choice(["alpha", "be", "gamma", "de"]) + str(rng.random())[2:6] for _ in range(60))
+    rows = [(i, clean(), "en", "big") for i in range(300)] + [(400 + i, clean(), "en", "tiny") for i in range(5)] + [(500, " ".join("#" + str(rng.random())[2:6] + "%%%" for _ in range(60)), "en", "tiny")]
+    rows += [(600 + i, " ".join("#" + str(rng.random())[2:6] + "%%%" for _ in range(60)), "en", "big") for i in range(60)]  # a sixth of the group, all alike
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(300)) and all(got[400 + i] for i in range(5)) and not got[500] and not any(got[600 + i] for i in range(60))
