@@ -556,4 +556,5 @@ def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
 
 
 def op10_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of each whole text of documents; nulls, empties and repeats as in score()."""
     return score(table(spark, sf_dir, "documents"))

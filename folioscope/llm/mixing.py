@@ -185,4 +185,5 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TO
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each of documents; nulls, empties and repeats as in mix()."""
     return mix(table(spark, sf_dir, "documents"))

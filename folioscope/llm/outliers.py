@@ -181,4 +181,5 @@ def judge(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP, **h
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of documents; nulls, empties and repeats as in judge()."""
     return judge(table(spark, sf_dir, "documents"))

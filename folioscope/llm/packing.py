@@ -201,4 +201,5 @@ def pack(docs: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss:
 
 
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into sequences of at most 2,048 tokens; nulls, empties and repeats as in pack()."""
     return pack(table(spark, sf_dir, "documents"))

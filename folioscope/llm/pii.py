@@ -268,5 +268,6 @@ def find_personal_data(docs: DataFrame, texts: bool = False, **how) -> DataFrame
 
 
 def op1_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of documents; nulls, empties and repeats as in find_personal_data()."""
     return find_personal_data(table(spark, sf_dir, "documents"))
 

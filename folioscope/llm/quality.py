@@ -124,7 +124,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return staged(both.select(f"{OWN}h", f"{OWN}p", "rate", "host_rate", ((F.col("good") + F.col("worth") * F.col("host_rate")) / (F.col("n") + F.col("worth"))).alias("path_rate")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: float = KEEP, limit: int = LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: float = KEEP, limit: int = LABELLED, texts: bool = True) -> DataFrame:
     """docs' columns with __fs_doc, __fs_host, __fs_path, __fs_good (probabilities) and __fs_kept.
 
     The classifier gives log odds z of a document from the shape of its whole text. Sums of its
@@ -136,16 +136,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     own, null doc_ids are kept as rows. Repeated rows keep a row each. Empty tables give none;
     without labels of both classes everything is kept. Extra columns pass through. A hot host
     is summed before the shuffle and its rate, one row, is broadcast after its count is checked.
+    A document at the threshold is kept. texts=False leaves the text out of the result, and texts are then walked once only.
     """
     model = train(docs, labels, limit)
-    names = docs.columns
+    names = [c for c in docs.columns if texts or c != "text"]
     if model is None:
         one = F.lit(1.0)
         return docs.select(*names, one.alias(f"{OWN}doc"), one.alias(f"{OWN}host"), one.alias(f"{OWN}path"), one.alias(f"{OWN}good"), F.lit(True).alias(f"{OWN}kept"))
     keyed = docs.withColumn(f"{OWN}h", nullable_key(host)).withColumn(f"{OWN}p", nullable_key(path))
-    slim = evidence(keyed.select(f"{OWN}h", f"{OWN}p", F.col("text").cast("string").alias("text")), model).drop("text")
-    rates = posteriors(slim)
-    full = join_small(evidence(keyed.withColumn("text", F.col("text").cast("string")), model), rates, [f"{OWN}h", f"{OWN}p"])
+    keyed = keyed.withColumn("text", F.col("text").cast("string"))
+    full = evidence(keyed, model) if texts else staged(evidence(keyed, model).drop("text"))
+    rates = posteriors(evidence(keyed.select(f"{OWN}h", f"{OWN}p", "text"), model).drop("text") if texts else full)
+    full = join_small(full, rates, [f"{OWN}h", f"{OWN}p"])
     logit = lambda c: F.log(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(c)))) - F.log1p(-F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(c))))
     good = 1 / (1 + F.exp(-(F.col(f"{OWN}z") - logit("rate") + logit("path_rate"))))
     full = full.withColumn(f"{OWN}good", good)
@@ -154,7 +156,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"))
+    """A row a document with its own, its host's and its path's probability of being good; nulls, ties and repeats as in classify()."""
+    d = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels"), texts=False)
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{OWN}doc").alias("doc_good"), F.col(f"{OWN}host").alias("host_good"),
                     F.col(f"{OWN}path").alias("path_good"), F.col(f"{OWN}good").alias("good"), F.col(f"{OWN}kept").alias("kept"))
 

@@ -315,4 +315,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
 
 
 def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that repeat elsewhere removed; nulls, empties and repeats as in remove_repeats()."""
     return remove_repeats(table(spark, sf_dir, "documents"))

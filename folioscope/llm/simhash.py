@@ -411,5 +411,6 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each of documents; nulls, empties and repeats as in near_duplicates()."""
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

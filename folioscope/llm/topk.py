@@ -380,6 +380,7 @@ def _search(d: DataFrame, dim: int, k: int, every: int) -> tuple[DataFrame, tupl
 
 
 def op7_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all embeddings for each whose vec_id is divisible by 50; nulls, ties and repeats as in search()."""
     return search(table(spark, sf_dir, "embeddings"))
 
 

@@ -480,3 +480,121 @@ def test_outliers_of_sparse_groups_and_two_clusters(spark):
     rows += [(600 + i, " ".join("#" + str(rng.random())[2:6] + "%%%" for _ in range(60)), "en", "big") for i in range(60)]  # a sixth of the group, all alike
     got = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i] for i in range(300)) and all(got[400 + i] for i in range(5)) and not got[500] and not any(got[600 + i] for i in range(60))
+
+
+def test_sparse_sites_are_shrunk_and_rates_match_brute_force(spark):
+    rng = random.Random(18)
+    good = lambda: " ".join(rng.choice("plain words of a calm and even text here".split()) + str(rng.randrange(99)) for _ in range(60))
+    bad = lambda: " ".join(["win $$$ ### |||"] * 15)
+    rows = [(i, good(), "en", "fair") for i in range(150)] + [(200 + i, bad(), "en", "foul") for i in range(150)] + [(400, bad(), "en", "one"), (401, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in (*range(0, 150, 3), *range(200, 350, 3))], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels, texts=False).collect()}
+    assert len(got) == len(rows) and "text" not in quality.classify(docs, labels, texts=False).columns
+    assert all(got[i]["__fs_kept"] for i in range(150)) and not any(got[200 + i]["__fs_kept"] for i in range(150))
+    p = {i: r["__fs_doc"] for i, r in got.items()}
+    site = {r[0]: r[3] for r in rows}
+    hosts: dict = {}
+    for i in p:
+        hosts.setdefault(site[i], []).append(p[i])
+    rate = sum(p.values()) / len(p)
+    n = {h: len(v) for h, v in hosts.items()}
+    spread = np.mean([(np.mean(v) - rate) ** 2 for v in hosts.values()]) / (rate * (1 - rate)) - np.mean([1 / x for x in n.values()])
+    worth = 1e6 if spread <= 1e-6 else min(1e6, max(2.0, 1 / spread - 1))
+    for i, r in got.items():
+        assert r["__fs_host"] == pytest.approx((sum(hosts[site[i]]) + worth * rate) / (n[site[i]] + worth))
+    assert abs(got[400]["__fs_host"] - p[400]) > abs(got[200]["__fs_host"] - np.mean(hosts["foul"]))  # one document moves its host less than many
+    both = quality.classify(docs, labels).drop("text").collect()
+    assert {r["doc_id"]: r["__fs_good"] for r in both} == pytest.approx({i: r["__fs_good"] for i, r in got.items()})
+    assert quality.classify(docs, labels.where("false")).where("NOT __fs_kept").count() == 0
+
+
+def test_base_scores_against_brute_force(spark):
+    rng = random.Random(19)
+    rows = [(i, " ".join(rng.choice(["The", "the", "cat", f"rare{rng.randrange(400)}", "É"]) for _ in range(rng.randrange(0, 50)))) for i in range(200)] + [(300, None), (None, "the cat"), (5, "the\x1fcat x")]
+    got = gru.score(spark.createDataFrame(rows, "doc_id long, text string"), size=20).collect()
+    low = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    tokens = [[w for w in __import__("re").split("[\x20\x09-\x0d]+", low(t)) if w] + [None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    count: dict = {}
+    for t, h in zip(tokens, held):
+        for w in () if h else t:
+            count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    want = sorted((i if i is not None else -1, h, len(t), sum(w in count for w in t), round(sum(np.log10((count.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for (i, _), t, h in zip(rows, tokens, held))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+    assert {r["train_tokens"] for r in got} == {n} and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_both_encoders_give_the_same_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder()
+    rng = random.Random(20)
+    texts = ["a<|endoftext|>b", "漢字 \x85 x", "it's 123  \n\n z", "x" * 5000, "Ärger  über\t\tdas\r\n'LL we'll", "", " ", "a b ÿ ˿ ́", *(t for _, t, *_ in ROWS if t)]
+    texts += ["".join(rng.choice(" \n\tabcXYZ019.,'!-éßñ" + "€" * (i % 2)) for _ in range(rng.randrange(1, 300))) for i in range(300)]
+    fast = 0
+    for t in texts:
+        fast += not (packing._RARE.search(t) or packing._SPECIAL in t)
+        assert encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids, t[:50]
+    assert fast > 50
+
+
+def test_cards_and_phones_against_the_patterns():
+    import re
+
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def passes(digits):
+        total = 0
+        for i, c in enumerate(reversed([int(x) for x in digits])):
+            total += c if i % 2 == 0 else (2 * c - 9 if c > 4 else 2 * c)
+        return total % 10 == 0
+
+    rng = random.Random(21)
+    hits = 0
+    for _ in range(4000):
+        t = "".join(rng.choice("0123456789" * 4 + " -+().x") for _ in range(60))
+        got = pii.base_spans(t)
+        want = [m.span() for m in card.finditer(t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and passes(d)]
+        assert [x[1:] for x in got if x[0] == "card"] == want
+        hits += len(want)
+        assert [x[1:] for x in got if x[0] == "phone"] == [m.span() for m in phone.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    assert hits > 20
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    text = lambda: " ".join(rng.choice("plain words of a calm and even text here".split()) + str(rng.randrange(999)) for _ in range(80))
+    twin = text()
+    rows = [(i, text(), "en", f"s{i % 4}") for i in range(60)] + [(100, twin, "en", "s1"), (101, twin, "en", "s2"), (102, twin + " more", "en", "s2"), (102, twin + " more", "en", "s2")]
+    rows += [(200 + i, " ".join(["win $$$ ### |||"] * 20), "en", "foul") for i in range(30)] + [(300, None, None, None), (301, "", "en", "s1"), (None, text(), "en", "s1"), (302, f"{text()} a.b@c.org", "en", "s3")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, added string, node double")
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in (*range(0, 60, 2), *range(200, 230, 2))], "doc_id long, quality int, toxic int")
+    d = tmp_path / "sf"
+    docs.write.parquet(f"file://{d}/documents.parquet")
+    labels.write.parquet(f"file://{d}/labels.parquet")
+    at = docs
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, f"file://{d}")
+        if name != "packing":
+            assert out.columns == docs.columns and stage(spark, docs.where("false"), f"file://{d}").count() == 0
+        out.write.parquet(f"file://{tmp_path}/{name}")
+        at = spark.read.parquet(f"file://{tmp_path}/{name}")
+        seen[name] = at.collect()
+    ids = lambda name: [r["doc_id"] for r in seen[name]]
+    assert not [i for i in ids("quality") if i is not None and 200 <= i < 230] and {*range(60), 100, 101, 102, 302} <= set(ids("quality"))
+    assert {*range(60), 100, 302} <= set(ids("near_duplicates")) and not {101, 102} & set(ids("near_duplicates")) and len(ids("near_duplicates")) == len(set(ids("near_duplicates")))
+    one = next(r for r in seen["personal_data"] if r["doc_id"] == 302)
+    assert one["text"].endswith(" [EMAIL]") and one["n_chars"] == len(one["text"]) and one["added"] == "x"
+    words: dict = {}
+    for r in seen["personal_data"]:
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+    assert sum(len(r["text"].split()) for r in seen["mix"]) == pytest.approx(1.5 * sum(words.values()), rel=0.02)
+    assert sum(r["length"] for r in seen["packing"]) == sum(len(packing.Encoder()(r["text"])) + 1 for r in seen["mix"])
+    total = corpus_pipeline.run(spark, f"file://{d}")
+    assert sorted(map(tuple, total.select("doc_id", "start", "length", "ids_crc32").collect()), key=repr) == sorted(((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in seen["packing"]), key=repr)
