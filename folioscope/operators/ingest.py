@@ -42,20 +42,36 @@ def index_profile(provider: EmbeddingProvider, s: Settings = Settings()) -> dict
     return profile | {"fingerprint": hashlib.sha256(json.dumps(profile, sort_keys=True).encode()).hexdigest(), "status": "ready"}
 
 
+def headed(extracted: DataFrame) -> DataFrame:
+    """source_path, modificationTime, metadata_json, header, content and outcome: read, skipped (nothing in it) or failed (a reader or a header broke)."""
+
+    def split(batches):
+        for pdf in batches:
+            rows = []
+            for t, why in zip(pdf["text"], pdf["skipped"]):
+                if t is None:
+                    rows.append((None, None, "failed" if str(why).startswith("failed") else "skipped"))
+                    continue
+                try:
+                    header, body = front_matter(t)
+                    body = body.strip() or rendered(header)
+                except Exception:  # noqa: BLE001  a note with a bad header must not stop a scan
+                    rows.append((None, None, "failed"))
+                else:
+                    rows.append((header, body, "read" if body else "skipped"))
+            yield pdf[["source_path", "modificationTime", "metadata_json"]].assign(**{n: [r[i] for r in rows] for i, n in enumerate(("header", "content", "outcome"))})
+
+    d = extracted.select("source_path", "modificationTime", "metadata_json", "text", "skipped")
+    return d.mapInPandas(split, "source_path string, modificationTime timestamp, metadata_json string, header string, content string, outcome string")
+
+
 def parse(extracted: DataFrame) -> DataFrame:
     """Documents from extracted text: front matter, inferred and extracted metadata, title, date, hash.
 
     Metadata of the header wins over what is inferred, and that over what the format gave.
     """
 
-    def split(batches):
-        for pdf in batches:
-            parts = [front_matter(t) for t in pdf["text"]]
-            body = [b.strip() for _, b in parts]
-            yield pdf[["source_path", "modificationTime", "metadata_json"]].assign(header=[h for h, _ in parts], content=[b or rendered(h) for b, (h, _) in zip(body, parts)])
-
-    d = extracted.where("text IS NOT NULL").select("source_path", "modificationTime", "metadata_json", "text")
-    d = d.mapInPandas(split, "source_path string, modificationTime timestamp, metadata_json string, header string, content string").where("content <> ''")
+    d = headed(extracted).where("outcome = 'read'").drop("outcome")
     name = F.element_at(F.split("source_path", "/"), -1)
     head = lambda k: F.get_json_object("header", f"$.{k}")
     notes, who = text.note_fields(F.col("content")), text.speakers(F.col("content"))
@@ -63,11 +79,11 @@ def parse(extracted: DataFrame) -> DataFrame:
     dated = text.labelled(F.col("content"), "date")
     d = d.withColumns({
         "m_title": F.coalesce(head("title"), text.labelled(F.col("content"), "title"), F.get_json_object("metadata_json", "$.title")),
-        "m_date": F.coalesce(head("effective_at"), head("date"), F.when(text.looks_like_date(dated), dated), F.get_json_object("metadata_json", "$.date")),
+        "m_date": F.coalesce(head("effective_at"), head("date"), dated, F.get_json_object("metadata_json", "$.date")),
         "stem": F.regexp_replace(name, r"\.[^.]*$", "")})
     inferred = F.to_json(F.struct(
         F.when(vtt, "meeting_transcript").alias("source_type"), F.when(text.is_webvtt(F.col("content")), "webvtt").alias("transcript_format"),
-        F.try_element_at(notes, F.lit("language")).alias("language"), F.coalesce(text.seconds_of(F.try_element_at(notes, F.lit("duration"))), text.duration(F.col("content"))).alias("duration_seconds"),
+        F.try_element_at(notes, F.lit("language")).alias("language"), F.when(F.map_contains_key(notes, "duration"), text.seconds_of(F.try_element_at(notes, F.lit("duration")))).otherwise(text.duration(F.col("content"))).alias("duration_seconds"),
         F.when(F.size(who) > 0, who).alias("speakers"), F.when(F.size(who) > 0, F.size(who)).alias("speaker_count"),
         F.when(vtt & F.contains(F.lower(name), F.lit("teams")), "microsoft_teams").alias("source_app")))
 
@@ -102,6 +118,7 @@ def front_matter(t: str) -> tuple[str, str]:
     """The YAML header of a note as JSON (an empty mapping if none) and what follows it."""
     import re
 
+    # How a header is set off from the text
     m = re.match(r"---[^\S\n]*\s*\n(.*?)\n---[^\S\n]*\s*\n?", t, re.DOTALL)
     if not m:
         return "{}", t
@@ -160,6 +177,13 @@ def next_snapshot(old: DataFrame, new: DataFrame, profile: str, now) -> DataFram
                     F.coalesce("o_created_at", F.lit(now)).alias("created_at"), F.when(~gone & F.coalesce(same, F.lit(False)), F.col("o_updated_at")).when(gone & ~F.col("o_is_active"), F.col("o_updated_at")).otherwise(F.lit(now)).alias("updated_at"))
 
 
+def reindexed(documents: DataFrame, provider: EmbeddingProvider, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks embedded anew from the text that is stored, under the provider's profile; inactive documents have no chunks."""
+    profile = index_profile(provider, s)["fingerprint"]
+    chunks = embedded(chunked(documents.where("is_active"), s), provider, profile)
+    return documents.withColumn("indexed_profile_hash", F.when(F.col("is_active"), F.lit(profile)).otherwise(F.col("indexed_profile_hash"))), chunks
+
+
 def chunked(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     """document_id, chunk_id, chunk_index, content, start_char, end_char, approx_tokens."""
     d = documents.select("document_id", "title", F.explode(search.chunks_of(F.col("content"), s.chunk_size, s.chunk_overlap)).alias("c"))

@@ -52,8 +52,7 @@ def _terms(q: str) -> str:
     return f"list_slice(list_filter(list_filter({raw}, lambda w: length(w) >= 3 AND w NOT IN ({_STOP})), lambda w, i: list_position(list_filter({raw}, lambda v: length(v) >= 3 AND v NOT IN ({_STOP})), w) = i), 1, 12)"
 
 
-QUESTIONS = f"""questions AS (SELECT item_id AS query_id, substr(text, 1, 50) AS query, embedding AS q_vec, {_terms("substr(text, 1, 50)")} AS terms
-  FROM embeddings JOIN benchmark ON item_id = vec_id // 100 WHERE vec_id % 100 = 0)"""
+QUESTIONS = f"questions AS (SELECT item_id AS query_id, text AS query, embedding AS q_vec, {_terms('text')} AS terms FROM embeddings JOIN benchmark ON item_id = vec_id)"
 
 
 def _trigrams(x: str) -> str:
@@ -94,13 +93,10 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC,
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 / (20 + rp) + 0.5 / (20 + least(pool_pos, sp, lp)) DESC, pool_pos) - 1 AS final_pos FROM placed)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = retrieval.scored(retrieval.candidates(chunk_table(spark, sf_dir), corpus(spark, sf_dir)), questions(spark, sf_dir), LOOSE, walks=False)
-    return retrieval.fused(d.withColumn("lexical_score", F.round("lexical_score", 12)), LOOSE)
-
-
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.pooled(_fused(spark, sf_dir), LOOSE.candidate_pool_chunks, LOOSE.candidate_pool_per_signal)
+    cands = retrieval.candidates(chunk_table(spark, sf_dir), corpus(spark, sf_dir))
+    d = retrieval.scored(cands, questions(spark, sf_dir), LOOSE, walks=False).withColumn("lexical_score", F.round("lexical_score", 12))
+    return retrieval.with_texts(retrieval.pooled(retrieval.fused(d, LOOSE), LOOSE.candidate_pool_chunks, LOOSE.candidate_pool_per_signal), cands)
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +159,7 @@ def question_terms(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@query(f"WITH g AS (SELECT item_id, {_trigrams('substr(text, 1, 200)')} AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({_jaccard('a.g', 'b.g')}, 9) AS sim FROM g a JOIN g b ON b.item_id = a.item_id + 1")
+@query(f"WITH g AS (SELECT item_id, {_trigrams('text')} AS g FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({_jaccard('a.g', 'b.g')}, 9) AS sim FROM g a JOIN g b ON b.item_id > a.item_id")
 def trigram_similarity(spark, sf_dir):
     """Trigram likeness of all pairs of passages."""
     g = _t(spark, sf_dir, "benchmark").select("item_id", text.trigrams(F.col("text")).alias("g"))
@@ -171,12 +167,13 @@ def trigram_similarity(spark, sf_dir):
     return g.join(b, F.col("b") > F.col("item_id")).select(F.col("item_id").alias("a"), "b", F.round(text.jaccard(F.col("g"), F.col("h")), 9).alias("sim"))
 
 
-@query("""WITH g AS (SELECT sha256(text) AS h, min(doc_id) AS canonical, list_sort(list(DISTINCT doc_id)) AS ids FROM documents GROUP BY 1)
-SELECT canonical, len(ids) - 1 AS duplicates, array_to_string(ids[2:], ',') AS others FROM g""")
+@query("""WITH g AS (SELECT sha256(text) AS h, min(doc_id) AS canonical, count(DISTINCT doc_id) - 1 AS duplicates FROM documents GROUP BY 1)
+SELECT DISTINCT doc_id, canonical, duplicates, doc_id = canonical AS is_canonical FROM documents LEFT JOIN g ON sha256(text) IS NOT DISTINCT FROM h""")
 def checksum_dedupe(spark, sf_dir):
-    """One document of each content hash."""
-    d = _t(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    return d.select(F.col("ids")[0].alias("canonical"), (F.size("ids") - 1).cast("long").alias("duplicates"), F.array_join(F.slice("ids", 2, F.greatest(F.lit(1), F.size("ids"))).cast("array<string>"), ",").alias("others"))
+    """Each document with the first of its content hash (R17, A5): counts are made before the shuffle, and no hash's ids meet in one row."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("h")).distinct()
+    g = d.groupBy("h").agg(F.min("doc_id").alias("canonical"), (F.count("*") - 1).alias("duplicates"))
+    return d.join(g, "h").select("doc_id", "canonical", "duplicates", (F.col("doc_id") == F.col("canonical")).alias("is_canonical"))
 
 
 _OLD = "SELECT 'p' || doc_id AS p, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h, doc_id % 13 <> 0 AS is_active FROM documents WHERE doc_id % 7 <> 0"
@@ -217,7 +214,7 @@ def index_status(spark, sf_dir):
 SELECT p.document_id, is_active, CAST(count(chunk_id) AS BIGINT) AS chunk_count, CAST(max(len(embedding)) AS BIGINT) AS dimensions, round(max(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS norm,
 max(substr(c.content, 1, 80)) AS preview FROM page p LEFT JOIN chunk_rows c ON c.document_id = p.document_id GROUP BY 1, 2""")
 def inspect_documents(spark, sf_dir):
-    """A page of documents with chunks and vector summaries."""
+    """A page of documents with chunks and vector summaries."""
     d = retrieval.inspect(corpus(spark, sf_dir), chunk_table(spark, sf_dir), 200, 50, 80)
     c = F.get("chunks", F.lit(0))
     return d.select("document_id", "is_active", F.col("chunk_count").cast("long").alias("chunk_count"), c["dimensions"].cast("long").alias("dimensions"), F.round(c["norm"], 6).alias("norm"), c["preview"].alias("preview"))
@@ -232,24 +229,24 @@ def fetch_chunk(spark, sf_dir):
 @query(f"""WITH {RERANKED}, g AS (SELECT query_id, document_id, min(final_pos) AS p FROM final GROUP BY ALL), r AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS doc_rank FROM g),
 c AS (SELECT query_id, '/src' || (query_id % 20) || '/' AS frag FROM questions WHERE query_id % 4 <> 3),
 h AS (SELECT c.query_id, min(doc_rank) AS rank FROM c LEFT JOIN (r JOIN corpus USING (document_id)) x ON x.query_id = c.query_id AND contains(source_path, frag) GROUP BY 1)
-SELECT count(*) AS scored, round(coalesce(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 0), 4) AS hit_rate, round(coalesce(avg(coalesce(1.0 / rank, 0)), 0), 4) AS mrr FROM h""")
+SELECT count(*) AS scored, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 4) AS hit_rate, round(avg(coalesce(1.0 / rank, 0)), 4) AS mrr FROM h""")
 def evaluation(spark, sf_dir):
-    """Hit rate and mean reciprocal rank of all questions in one job."""
+    """Hit rate and mean reciprocal rank of all questions in one job."""
     r = retrieval.documents_of(_reranked(spark, sf_dir), corpus(spark, sf_dir), 100_000, "final_pos", content=False)
     q = questions(spark, sf_dir).select("query_id", F.col("query").alias("question"), F.when(F.col("query_id") % 4 != 3, F.array(F.concat(F.lit("/src"), F.col("query_id") % 20, F.lit("/")))).otherwise(F.array().cast("array<string>")).alias("expect"))
     return retrieval.evaluate(r, q).select("scored", "hit_rate", "mrr")
 
 
-_VTT = "SELECT conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(printf('00:%02d:00.000 --> 00:%02d:30.500', turn % 60, turn % 60) || chr(10) || '<v ' || role || '>' || substr(text, 1, 40), chr(10) ORDER BY turn, text) AS vtt FROM conversations GROUP BY 1"
+_VTT = "SELECT conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(printf('00:%02d:00.000 --> 00:%02d:30.500', turn % 60, turn % 60) || chr(10) || '<v ' || role || '>' || text, chr(10) ORDER BY turn, text) AS vtt FROM conversations GROUP BY 1"
 
 
 @query(rf"""WITH v AS ({_VTT}) SELECT conv_id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS speakers, CAST(len(list_distinct(s)) AS BIGINT) AS speaker_count,
 CAST(split_part(e[-1], ':', 1) AS DOUBLE) * 3600 + CAST(split_part(e[-1], ':', 2) AS DOUBLE) * 60 + CAST(split_part(e[-1], ':', 3) AS DOUBLE) AS duration
 FROM (SELECT conv_id, list_transform(regexp_extract_all(vtt, '<v\s+([^>]+)>', 1), lambda x: trim(x)) AS s, regexp_extract_all(vtt, '--> (\d\d:\d\d:\d\d\.\d\d\d)', 1) AS e FROM v)""")
 def transcript_metadata(spark, sf_dir):
-    """Speakers and duration of WebVTT transcripts."""
+    """Speakers and duration of WebVTT transcripts."""
     m = F.lpad((F.col("turn") % 60).cast("string"), 2, "0")
-    cue = F.concat(F.lit("00:"), m, F.lit(":00.000 --> 00:"), m, F.lit(":30.500\n<v "), "role", F.lit(">"), F.substring("text", 1, 40))
+    cue = F.concat(F.lit("00:"), m, F.lit(":00.000 --> 00:"), m, F.lit(":30.500\n<v "), "role", F.lit(">"), "text")
     v = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", cue.alias("cue")))).alias("cues"))
     vtt = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cues", lambda x: x["cue"]), "\n"))
     who = text.speakers(F.col("vtt"))
@@ -303,13 +300,13 @@ def page_texts(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", search.html_to_text("html").alias("text"))
 
 
-@query("""SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, length(props) > 30 AS truncated, substr(props, 1, 30) AS preview FROM events WHERE event_id % 50 = 0""")
+@query("""SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, length(props) > 30 AS truncated, substr(props, 1, 30) AS preview FROM events""")
 def json_metadata(spark, sf_dir):
-    """Values out of JSON metadata, and previews."""
+    """Values out of JSON metadata, and previews."""
     return _t(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.page").alias("page"), (F.length("props") > 30).alias("truncated"), F.substring("props", 1, 30).alias("preview"))
 
 
-@query("""WITH w AS (SELECT l_orderkey AS img, l_linenumber AS pos, CASE WHEN l_linenumber % 4 = 3 THEN ' ' ELSE 'w' || l_partkey END AS word, l_quantity * 2 AS conf, l_linenumber // 3 AS line FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH w AS (SELECT l_orderkey AS img, l_linenumber AS pos, CASE WHEN l_linenumber % 4 = 3 THEN ' ' ELSE 'w' || l_partkey END AS word, l_quantity * 2 AS conf, l_linenumber // 3 AS line FROM lineitem),
 s AS (SELECT * FROM w WHERE trim(word) <> '' AND conf >= 60), l AS (SELECT img, line, string_agg(trim(word), ' ' ORDER BY pos, word) AS t, count(*) AS n FROM s GROUP BY 1, 2),
 g AS (SELECT img, string_agg(t, chr(10) ORDER BY line) AS t, sum(n) AS n FROM l GROUP BY 1)
 SELECT img, coalesce(CASE WHEN g.n >= 2 AND length(g.t) >= 12 THEN g.t END, '') AS text FROM (SELECT DISTINCT img FROM w) LEFT JOIN g USING (img)""")
