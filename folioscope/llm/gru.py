@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -47,8 +46,8 @@ class Vocabulary:
         self.hashes, self.counts = hashes, counts.astype(np.float64)
         self.n, self.ends, self.total, self.types = len(hashes), ends, total, types
         self.rare = max(0.0, total - ends - float(self.counts.sum()))
-        self.index: dict[int, int] | None = None
-        self.memo: _Memo | None = None
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = np.asarray(hashes, np.int64)[self.order]
         n, head = self.n, min(HEAD, self.n)
         self.class_of = np.full(n + 2, RARE_CLASS, np.int32)
         self.class_of[:head] = np.arange(head) // MEMBERS
@@ -68,27 +67,12 @@ class Vocabulary:
         self.base = np.log10(np.append(self.counts + 0.5, [1.0, ends + 0.5]) / max(scale, 1.0))
         self.known = np.append(np.ones(n), [0.0, float(ends > 0)])
 
-    def __getstate__(self):
-        return self.__dict__ | {"index": None, "memo": None}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        if self.index is None:
-            self.index = {h: i for i, h in enumerate(self.hashes.tolist())}
-        if self.memo is None or len(self.memo) > 500_000:
-            self.memo = _Memo(self.index, self.n)
-        return np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))
-
-
-class _Memo(dict):
-    """Ids of words met before; a word that is new is hashed and looked up."""
-
-    def __init__(self, index: dict[int, int], rare: int):
-        super().__init__()
-        self.index, self.rare = index, rare
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = self.index.get(word_hash(word), self.rare)
-        return found
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of words by hash."""
+        if not self.n:
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), self.n - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], self.n).astype(np.int32)
 
 
 def _exponentials(logits: np.ndarray, safe: bool) -> np.ndarray:
@@ -366,29 +350,61 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "text", _held_out().alias("held_out"), *text_key())
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h, c of all words of the training documents, counted in full; a null h counts the documents."""
+#: Tokens of a segment, about: a document is never cut, so a very long one is a segment by itself.
+SEGMENT_TOKENS = 250_000
+DOCUMENT_FIELDS = [("doc_id", pa.int64(), "long"), ("held_out", pa.bool_(), "boolean"), (TEXT_KEY[0], pa.int64(), "long"), (TEXT_KEY[1], pa.int32(), "int"), ("size", pa.int32(), "int")]
+
 
-    def count(batches):
-        words: Counter = Counter()
-        ends = 0
+class _Local(dict):
+    """Words of a segment by order of appearance, from 1 on; 0 is the end."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self) + 1
+        return found
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """Texts as ids, walked once: a row holds some documents, their ids end to end (an end after each), and what its ids mean.
+
+    words are hashes by local id from 1 on, counts how often the row's training documents have them, ends how many these are.
+    """
+    schema = pa.schema([("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ends", pa.int64()), ("ids", pa.list_(pa.int32())), *[(n, pa.list_(t)) for n, t, _ in DOCUMENT_FIELDS]])
+
+    def run(batches):
+        local, ids, rows, size = _Local(), [], [], 0
+        end = np.zeros(1, np.int32)
 
         def out():
-            rows = pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array(list(words.values()), pa.int64())], names=["h", "c"])
-            words.clear()
-            return rows
+            nonlocal local, ids, rows, size
+            every, columns = np.concatenate(ids), list(zip(*rows))
+            learnt = np.repeat(~np.array(columns[1], bool), columns[4])
+            counts = np.bincount(every[learnt], minlength=len(local) + 1)
+            words = np.fromiter(map(word_hash, local), np.int64, len(local))
+            arrays = [words, counts[1:], int(counts[0]), every, *columns]
+            one = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(arrays, schema)], schema=schema)
+            local, ids, rows, size = _Local(), [], [], 0
+            return one
+
+        for b in slices(batches, 256):
+            held, k, k2, doc = (b.column(c).to_pylist() for c in ("held_out", *TEXT_KEY, "doc_id"))
+            for i, text in enumerate(as_bytes(b, "text")):
+                words = text.lower().split()
+                ids += [np.fromiter(map(local.__getitem__, words), np.int32, len(words)), end]
+                rows.append((doc[i], held[i], k[i], k2[i], len(words) + 1))
+                size += len(words) + 1
+                if size > SEGMENT_TOKENS:
+                    yield out()
+        if rows:
+            yield out()
 
-        for b in slices(batches):
-            for text, held in zip(as_bytes(b, "text"), b.column("held_out").to_pylist()):
-                if not held:
-                    ends += 1
-                    words.update(text.lower().split())
-                    if len(words) > 300_000:
-                        yield out()
-        yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([ends], pa.int64())], names=["h", "c"])
+    kinds = "words array<long>, counts array<long>, ends long, ids array<int>, " + ", ".join(f"{n} array<{t}>" for n, _, t in DOCUMENT_FIELDS)
+    return _prepared(docs).mapInArrow(run, kinds)
 
-    return _prepared(docs).select("text", "held_out").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """h, c of all words of the training documents of segments(), counted in full; a null h counts the documents."""
+    words = tokens.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).where("w.counts > 0").groupBy(F.col("w.words").alias("h")).agg(F.sum("w.counts").alias("c"))
+    return words.union(tokens.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("c")).select(F.lit(None).cast("long").alias("h"), "c"))
 
 
 def vocabulary(counts: DataFrame, size: int = TABLE) -> tuple[Vocabulary, float]:
@@ -415,40 +431,20 @@ def vocabulary(counts: DataFrame, size: int = TABLE) -> tuple[Vocabulary, float]
     return v, float(min(0.9, max(0.01, ones / v.rare))) if v.rare else 0.9
 
 
-def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """doc_id, held_out, text key, ids (the end last) and rare: hashes of the words outside the table, repeats included."""
-    fields = [pa.field("doc_id", pa.int64()), pa.field("held_out", pa.bool_()), pa.field(TEXT_KEY[0], pa.int64()), pa.field(TEXT_KEY[1], pa.int32()), pa.field("ids", pa.list_(pa.int32())),
-              pa.field("rare", pa.list_(pa.int64()))]
-    end = np.array([v.n + 1], np.int32)
-
-    def run(batches):
-        for b in slices(batches, 256):
-            ids, rare = [], []
-            for text in as_bytes(b, "text"):
-                words = text.lower().split()
-                x = v.ids(words)
-                rare.append([word_hash(words[i]) for i in np.flatnonzero(x == v.n)])
-                ids += [x, end]
-            ends = np.cumsum([0, *(len(x) + 1 for x in ids[::2])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields[:4]), lists, pa.array(rare, fields[5].type)], schema=pa.schema(fields))
-
-    kinds = f"doc_id long, held_out boolean, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, ids array<int>, rare array<long>"
-    return _prepared(docs).select("doc_id", "held_out", *TEXT_KEY, "text").mapInArrow(run, kinds)
-
-
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    """The lists of an Arrow column, as views."""
-    if not len(column):
-        return []
-    at = column.offsets.to_numpy()
-    return np.split(column.values.to_numpy()[at[0]:at[-1]], at[1:-1] - at[0])
+def _documents(batches, v: Vocabulary, names: list[str]):
+    """Of each segment: its documents' ids in the vocabulary, its local ids, hashes by local id (0: the end), and columns of its documents."""
+    for b in batches:
+        for i in range(b.num_rows):
+            words, local, size = (b.column(c)[i].values.to_numpy() for c in ("words", "ids", "size"))
+            cuts = np.cumsum(size)[:-1]
+            known = np.append(np.int32(v.n + 1), v.ids(words))[local]
+            yield np.split(known, cuts), np.split(local, cuts), np.append(0, words), [b.column(c)[i].values for c in names]
 
 
 def trained(tokens: DataFrame, v: Vocabulary) -> Network:
     """The network: each partition trains a copy on all tokens of its training documents, weights are averaged by tokens.
 
-    tokens are those of encoded(). Only sums by parameter are shuffled; the driver gets as many numbers as the network
+    tokens are those of segments(). Only sums by parameter are shuffled; the driver gets as many numbers as the network
     has. The weights depend on how the table is cut into partitions, as each trains from the same start.
     """
     start = Network.initial(v)
@@ -469,12 +465,13 @@ def trained(tokens: DataFrame, v: Vocabulary) -> Network:
             train_on(net, chunks, v, optimiser)
             parts, size = [rest] if len(rest) else [], len(rest)
 
-        for b in batches:
-            for x in _lists(b.column("ids")):
-                parts.append(x)
-                size += len(x)
-                if size > SCORE_TOKENS:
-                    use()
+        for documents, _, _, (held,) in _documents(batches, v, ["held_out"]):
+            for x, out in zip(documents, held.to_pylist()):
+                if not out:
+                    parts.append(x)
+                    size += len(x)
+            if size > SCORE_TOKENS:
+                use()
         if parts:
             use(last=True)
         if seen:
@@ -484,7 +481,7 @@ def trained(tokens: DataFrame, v: Vocabulary) -> Network:
         for pdf in run(batches):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    sums = tokens.where("NOT held_out").select("ids").mapInArrow(frames, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+    sums = tokens.select("words", "ids", "size", "held_out").mapInArrow(frames, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
     if sums.empty:
         return start
     flat = np.zeros(Network.SIZE)
@@ -493,34 +490,32 @@ def trained(tokens: DataFrame, v: Vocabulary) -> Network:
 
 
 def scored(tokens: DataFrame, v: Vocabulary, net: Network) -> DataFrame:
-    """A row a document of encoded(): its sums over the words of the table, and its rare words."""
-    fields = [("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-    names = ["doc_id", "held_out", *TEXT_KEY]
+    """A row a document of segments(): its sums over the words of the table, and hashes of its other words, repeats included."""
+    names = [n for n, _, _ in DOCUMENT_FIELDS[:4]]
+    more = pa.schema([("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches):
-        held, ids, size = [], [], 0
+        held, ids, rare, size = [], [], [], 0
 
         def flush():
-            nonlocal held, ids, size
-            rows = [(len(x), int(v.known[x].sum()), float(v.base[x[x != v.n]].sum()), float(s)) for x, s in zip(ids, score_documents(net, ids, v))]
-            own = pa.Table.from_batches(held).combine_chunks()
-            for (field, kind), values in zip(fields, zip(*rows)):
-                own = own.append_column(field, pa.array(values, kind))
-            held, ids, size = [], [], 0
-            return own.to_batches()
-
-        for b in slices(batches, 256):
-            x = _lists(b.column("ids"))
-            held.append(b.select(names))
-            ids += x
-            size += sum(map(len, x))
+            nonlocal held, ids, rare, size
+            rows = [(len(x), int(v.known[x].sum()), float(v.base[x[x != v.n]].sum()), float(s), r) for x, s, r in zip(ids, score_documents(net, ids, v), rare)]
+            own = [pa.concat_arrays(c) for c in zip(*held)] + [pa.array(c, f.type) for c, f in zip(zip(*rows), more)]
+            held, ids, rare, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays(own, names=[*names, *more.names])
+
+        for documents, local, words, columns in _documents(batches, v, names):
+            held.append(columns)
+            ids += documents
+            rare += [words[y[x == v.n]] for x, y in zip(documents, local)]
+            size += sum(map(len, documents))
             if size > SCORE_TOKENS:
-                yield from flush()
+                yield flush()
         if ids:
-            yield from flush()
+            yield flush()
 
-    kinds = f"doc_id long, held_out boolean, {TEXT_KEY[0]} long, {TEXT_KEY[1]} int, times long, known long, base double, score double"
-    return tokens.select(*names, "ids").mapInArrow(run, kinds)
+    kinds = ", ".join(f"{n} {t}" for n, _, t in DOCUMENT_FIELDS[:4]) + ", times long, known long, base double, score double, rare array<long>"
+    return tokens.select("words", "ids", "size", *names).mapInArrow(run, kinds)
 
 
 def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
@@ -536,20 +531,20 @@ def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
     documents that count and are scored each. Empty tables give none; without training documents
     counts are 0. Very long texts run through window by window. Extra columns are not read.
     """
-    counts = staged(word_counts(docs))
+    tokens = staged(segments(docs))
+    counts = staged(word_counts(tokens))
     v, unseen = vocabulary(counts, size)
-    tokens = staged(encoded(docs, v))
     d = staged(scored(tokens, v, trained(tokens, v)))
     scale = max(v.total + 0.5 * (v.types + 1), 1.0)
     # copies of a text have the same rare words, so these are joined once a text
-    rare = tokens.where("size(rare) > 0").groupBy(*TEXT_KEY).agg(F.any_value("rare").alias("rare")).select(*TEXT_KEY, F.explode("rare").alias("h"), F.lit(1).alias("times"))
+    rare = d.where("size(rare) > 0").groupBy(*TEXT_KEY).agg(F.any_value("rare").alias("rare")).select(*TEXT_KEY, F.explode("rare").alias("h"), F.lit(1).alias("times"))
     rare = rare.join(counts.where("h IS NOT NULL AND c > 0"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     within = F.when(F.col("c") > 0, F.log10(F.col("c") * F.lit((1 - unseen) / max(v.rare, 1.0)))).otherwise(F.lit(float(np.log10(unseen))))
     texts = rare.groupBy(*TEXT_KEY).agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("r_known"),
                                          F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(scale))).alias("r_base"), F.sum(F.col("times") * within).alias("r_score"))
     # single precision differs in the last digits by a text's neighbours: its copies get one score
     own = d.groupBy(*TEXT_KEY).agg(F.max("score").alias("score")).join(texts, TEXT_KEY, "left")
-    d = d.drop("score").join(own, TEXT_KEY)
+    d = d.drop("score", "rare").join(own, TEXT_KEY)
     share = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return d.select("doc_id", "held_out", F.col("times").alias("n_tokens"), (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
                     F.lit(v.total).cast("long").alias("train_tokens"), (F.col("base") + share("r_base")).alias("base_score"), (F.col("score") + share("r_score")).alias("score"))

@@ -338,9 +338,9 @@ def test_the_network_trains_on_every_token(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 400)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     few = df.where("doc_id = 0").selectExpr("doc_id", "substring(text, 1, 40) AS text")
-    v, _ = gru.vocabulary(gru.word_counts(df))
+    v, _ = gru.vocabulary(gru.word_counts(gru.segments(df)))
     start = gru.Network.initial(v).flat
-    moved = gru.trained(gru.encoded(few, v), v).flat
+    moved = gru.trained(gru.segments(few), v).flat
     assert np.isfinite(moved).all() and (moved != start).any()
 
     def count(net, chunks, v, optimiser):
@@ -348,7 +348,7 @@ def test_the_network_trains_on_every_token(spark, monkeypatch):
 
     monkeypatch.setattr(gru, "train_on", count)
     monkeypatch.setattr(gru, "SCORE_TOKENS", 1000)
-    assert round(float(gru.trained(gru.encoded(df, v), v).flat[0] - start[0])) == v.total
+    assert round(float(gru.trained(gru.segments(df), v).flat[0] - start[0])) == v.total
 
 
 def test_mix_prefers_longer_documents_at_unequal_probabilities(spark):
