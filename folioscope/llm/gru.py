@@ -17,7 +17,7 @@ from .common import TEXT_KEY, as_bytes, slices, staged, table, text_key
 TABLE = 100_000
 #: Head words have vectors of their own, in classes of equal size; the rest of the table is classed by frequency.
 HEAD, MEMBERS, TAIL_CLASSES = 1024, 32, 30
-HIDDEN = 16
+HIDDEN = 24
 #: Truncated backpropagation over WINDOW tokens, state carried on over the CHUNK.
 WINDOW, CHUNK = 32, 128
 #: Chunks side by side: few at first, so that the first steps are many, then twice as many after each BATCHES steps.
