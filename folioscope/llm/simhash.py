@@ -19,7 +19,7 @@ WIDE, SIMILAR = 5, 0.8
 BAND, BANDS = 6, 25
 #: Members a block of a bucket, and residue classes in which a text's shingles are counted.
 BLOCK, CLASSES = 256, 256
-BUCKET_KEY = ["band", "key", "i", "j"]
+BUCKET_KEY = ["key", "i", "j"]
 #: Buckets of up to so many fingerprints are compared inside; larger ones go through one-bit neighbours.
 BUCKET = 256
 
@@ -292,10 +292,10 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shi
 
 
 def open_buckets(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (band, key, node) of the buckets whose members are not all in one component; once joined, a bucket stays closed."""
+    """The rows (key, node) of the buckets whose members are not all in one component; once joined, a bucket stays closed."""
     rows = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
-    return left.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
+    return left.join(mixed.select("key"), "key", "left_semi")
 
 
 def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: DataFrame, most: int, similarity: float, block: int) -> DataFrame:
@@ -307,10 +307,10 @@ def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: D
     """
     named = sketched.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     missed = decided.where("NOT ok").groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("missed"))
-    counts = left.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = left.join(counts, ["band", "key"])
+    counts = left.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = left.join(counts, "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
     rows = rows.join(named, "node").join(missed, "node", "left")
 
     def compare(x: pa.Table):
@@ -374,30 +374,32 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, b
     Nulls: a null text is empty, texts without words are alike; null doc_ids take no part.
     Two texts under one doc_id count as linked. Empty tables give none; extra columns are not read.
     """
-    d = staged(signatures(docs, shingle))
-    nodes = staged(d.groupBy("k", "k2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = staged(signatures(docs, shingle).groupBy("k", "k2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     classes = components(links(staged(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "label")
-    left = nodes.select("node", "k", "n", F.posexplode("bands").alias("band", "key"))
-    left = left.unionByName(nodes.join(classes, "fp", "left").select("node", "k", "n", F.lit(-1).alias("band"), F.coalesce("label", "fp").alias("key")))
-    ends = left.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    left = staged(left.join(ends, ["band", "key"]))
+    # buckets are long tables: a row is a key and a node, whatever else is known of a text is joined to what is left of them
+    left = nodes.select(F.explode("bands").alias("key"), "node")
+    left = left.unionByName(nodes.join(classes, "fp", "left").select(F.xxhash64(F.lit("class"), F.coalesce("label", "fp")).alias("key"), "node"))
+    ends = left.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    left = staged(left.join(ends, "key"))
     # of the smallest members of its buckets, each text meets the one that it shares most buckets with: one edge a text
-    hubs = left.where(F.col("node") != F.col("hub.node")).where(F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n"))
-    hubs = hubs.groupBy(F.col("node").alias("b"), F.col("hub.node").alias("a")).agg(F.count("*").alias("shared"))
+    hubs = left.where("node <> hub").groupBy(F.col("node").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("shared"))
+    sizes = nodes.select("node", "n")
+    hubs = hubs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     edges = hubs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     decided = staged(verified(staged(edges), docs, similarity, shingle))
     labels = staged(components(decided.where("ok").select("a", "b")))
-    left = staged(open_buckets(left.select("band", "key", "node", "k").distinct(), labels))
-    sketched = staged(sketches(docs, left, shingle))
-    left = left.select("band", "key", "node").distinct()
+    left = staged(open_buckets(left.select("key", "node").distinct(), labels))
+    sketched = staged(sketches(docs, nodes.select("node", "k").join(left.select("node").distinct(), "node", "left_semi"), shingle))
     most = 1
     while True:
         edges = staged(unlinked(left, sketched, labels, decided, most, similarity, block))
         if edges.isEmpty():
             break
-        decided = staged(decided.union(verified(edges, docs, similarity, shingle)))
-        labels = staged(components(decided.where("ok").select("a", "b")))
-        left = staged(open_buckets(left, labels))
+        new = staged(verified(edges, docs, similarity, shingle))
+        decided = decided.union(new)
+        if not new.where("ok").isEmpty():
+            labels = staged(components(decided.where("ok").select("a", "b")))
+            left = staged(open_buckets(left, labels))
         most *= 64
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component_id"))
 
