@@ -389,7 +389,8 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, b
     decided = staged(verified(staged(edges), docs, similarity, shingle))
     labels = staged(components(decided.where("ok").select("a", "b")))
     left = staged(open_buckets(left.select("key", "node").distinct(), labels))
-    sketched = staged(sketches(docs, nodes.select("node", "k").join(left.select("node").distinct(), "node", "left_semi"), shingle))
+    wanted = staged(nodes.select("node", "k").join(left.select("node").distinct(), "node", "left_semi"))  # its size is known then
+    sketched = staged(sketches(docs, wanted, shingle))
     most = 1
     while True:
         edges = staged(unlinked(left, sketched, labels, decided, most, similarity, block))
@@ -408,8 +409,9 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One document of each group of similar(): the one with the smallest doc_id (all rows of a null id, same texts once)."""
     kept = staged(similar(docs, **how).where("node = component_id").select(F.col("node").alias(f"{OWN}id")).distinct())
     first = docs.withColumn(f"{OWN}d", F.col("doc_id").cast("long"))
-    out = first.join(kept, F.col(f"{OWN}d") == F.col(f"{OWN}id"), "left_semi").unionByName(first.where(F.col(f"{OWN}d").isNull()))
-    return out.dropDuplicates([f"{OWN}d", "text"]).select(*docs.columns)
+    # repeats go before the union: rows dealt by id for the join need not be dealt again by id and text
+    known = first.join(kept, F.col(f"{OWN}d") == F.col(f"{OWN}id"), "left_semi").dropDuplicates([f"{OWN}d", "text"])
+    return known.unionByName(first.where(F.col(f"{OWN}d").isNull()).dropDuplicates(["text"])).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
