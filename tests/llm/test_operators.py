@@ -455,6 +455,45 @@ def test_mined_rules_against_brute_force(spark):
     assert ("p:a1", "p:b2") in got
 
 
+def _rules_by_brute_force(rows, sizes):
+    from itertools import combinations
+
+    sets = [({f"p:{w}" for w in u.split("/")[3:-1]}, bad) for u, bad in rows]
+    base, words = sum(b for _, b in sets) / len(sets), sorted(set().union(*(t for t, _ in sets)))
+    want = {}
+    for size in sizes:
+        for c in combinations(words, size):
+            held = [b for t, b in sets if t.issuperset(c)]
+            if sum(held) >= 20 and sum(held) / len(held) >= max(0.7, 1.5 * base):
+                want[c] = (sum(held) / len(held), sum(held))
+    return {c: pytest.approx(v) for c, v in want.items() if not any(set(o) < set(c) and len(o) == len(c) - 1 and want[o][0] >= v[0] for o in want)}
+
+
+def test_rules_of_urls_with_many_items_against_brute_force(spark):
+    rng, rows = random.Random(21), []
+    for i in range(900):
+        both = rng.random()
+        bad = both < 0.08 or rng.random() < 0.3
+        words = [f"n{k:02d}" for k in range(22) if rng.random() < (0.65 if bad else 0.3)]
+        words += ["pair1", "pair2"] if both < 0.08 else [f"pair{1 + i % 2}"]  # each alone is mostly good
+        rng.shuffle(words)
+        rows.append((f"http://h.org/{'/'.join(words)}/{i}", bad))
+    got = {tuple(r["antecedent"]): (r["confidence"], r["bad_rows"]) for r in urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), support=0.07).collect()}
+    want = {c: v for c, v in _rules_by_brute_force(rows, (1, 2, 3)).items() if v.expected[1] >= 63}
+    assert {c: v for c, v in got.items() if len(c) <= 3} == want
+    assert ("p:pair1", "p:pair2") in got
+
+
+def test_both_ways_to_mine_give_the_same_rules(spark):
+    rng, rows = random.Random(22), []
+    for i in range(500):
+        words = rng.sample("a1 b2 c3 d4 e5 f6 g7".split(), 4)
+        rows.append((f"http://h.org/{'/'.join(words)}/{i}", len({"a1", "b2", "c3"} & set(words)) > 1 and rng.random() < 0.9 or rng.random() < 0.1))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    one, other = ({tuple(r["antecedent"]): tuple(r)[1:] for r in urls.mine_rules(df, items=k).collect()} for k in (urls.ITEMS, 2))
+    assert one == other and len(one) > 3
+
+
 def test_personal_data_with_clashing_columns(spark):
     rows = [(i, f"write to ada{i}@x.org please", "n", 7, 1) for i in range(4)] + [(9, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, added string, spans int, term int")
