@@ -352,6 +352,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 #: Tokens of a segment, about: a document is never cut, so a very long one is a segment by itself.
 SEGMENT_TOKENS = 250_000
+#: Segments a file when staged: Spark's reader holds up to 4,096 rows of a file at once, which would be all segments of a task.
+SEGMENTS_A_FILE = 8
 DOCUMENT_FIELDS = [("doc_id", pa.int64(), "long"), ("held_out", pa.bool_(), "boolean"), (TEXT_KEY[0], pa.int64(), "long"), (TEXT_KEY[1], pa.int32(), "int"), ("size", pa.int32(), "int")]
 
 
@@ -366,9 +368,9 @@ class _Local(dict):
 def segments(docs: DataFrame) -> DataFrame:
     """Texts as ids, walked once: a row holds some documents, their ids end to end (an end after each), and what its ids mean.
 
-    words are hashes by local id from 1 on, counts how often the row's training documents have them, ends how many these are.
+    ids are bytes, of 2 each where that will do, else of 4: Spark moves them whole, not one by one. words are hashes by local id from 1 on, counts how often the row's training documents have them, ends how many these are.
     """
-    schema = pa.schema([("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ends", pa.int64()), ("ids", pa.list_(pa.int32())), *[(n, pa.list_(t)) for n, t, _ in DOCUMENT_FIELDS]])
+    schema = pa.schema([("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ends", pa.int64()), ("ids", pa.binary()), *[(n, pa.list_(t)) for n, t, _ in DOCUMENT_FIELDS]])
 
     def run(batches):
         local, ids, rows, size = _Local(), [], [], 0
@@ -380,7 +382,8 @@ def segments(docs: DataFrame) -> DataFrame:
             learnt = np.repeat(~np.array(columns[1], bool), columns[4])
             counts = np.bincount(every[learnt], minlength=len(local) + 1)
             words = np.fromiter(map(word_hash, local), np.int64, len(local))
-            arrays = [words, counts[1:], int(counts[0]), every, *columns]
+            packed = every.astype("<u2" if len(local) < 1 << 16 else "<i4").tobytes()
+            arrays = [words, counts[1:], int(counts[0]), packed, *columns]
             one = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(arrays, schema)], schema=schema)
             local, ids, rows, size = _Local(), [], [], 0
             return one
@@ -397,7 +400,7 @@ def segments(docs: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    kinds = "words array<long>, counts array<long>, ends long, ids array<int>, " + ", ".join(f"{n} array<{t}>" for n, _, t in DOCUMENT_FIELDS)
+    kinds = "words array<long>, counts array<long>, ends long, ids binary, " + ", ".join(f"{n} array<{t}>" for n, _, t in DOCUMENT_FIELDS)
     return _prepared(docs).mapInArrow(run, kinds)
 
 
@@ -435,7 +438,9 @@ def _documents(batches, v: Vocabulary, names: list[str]):
     """Of each segment: its documents' ids in the vocabulary, its local ids, hashes by local id (0: the end), and columns of its documents."""
     for b in batches:
         for i in range(b.num_rows):
-            words, local, size = (b.column(c)[i].values.to_numpy() for c in ("words", "ids", "size"))
+            words, size = (b.column(c)[i].values.to_numpy() for c in ("words", "size"))
+            packed = b.column("ids")[i].as_buffer()
+            local = np.frombuffer(packed, "<u2" if packed.size == 2 * size.sum() else "<i4")
             cuts = np.cumsum(size)[:-1]
             known = np.append(np.int32(v.n + 1), v.ids(words))[local]
             yield np.split(known, cuts), np.split(local, cuts), np.append(0, words), [b.column(c)[i].values for c in names]
@@ -531,7 +536,7 @@ def score(docs: DataFrame, size: int = TABLE) -> DataFrame:
     documents that count and are scored each. Empty tables give none; without training documents
     counts are 0. Very long texts run through window by window. Extra columns are not read.
     """
-    tokens = staged(segments(docs))
+    tokens = staged(segments(docs), SEGMENTS_A_FILE)
     counts = staged(word_counts(tokens))
     v, unseen = vocabulary(counts, size)
     d = staged(scored(tokens, v, trained(tokens, v)))

@@ -455,6 +455,25 @@ def test_mined_rules_against_brute_force(spark):
     assert ("p:a1", "p:b2") in got
 
 
+def test_segments_are_read_a_few_at_a_time(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    many = " ".join(f"w{i}" for i in range(70_000))  # more words than two bytes can tell apart
+    texts = [many, "b a b", None, *["x " * 250_001] * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokens = gru.staged(gru.segments(df), gru.SEGMENTS_A_FILE)
+    files = [f for p in tokens.inputFiles() for f in glob.glob(p.removeprefix("file://"))]
+    rows = [pq.ParquetFile(f).metadata.num_rows for f in files]
+    assert sum(rows) == 20 and max(rows) == gru.SEGMENTS_A_FILE
+    got, v = {}, gru.Vocabulary(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, 0)
+    for _, local, words, (ids,) in gru._documents(tokens.toArrow().to_batches(), v, ["doc_id"]):
+        got |= {i: (x.dtype.itemsize, words[x].tolist()) for i, x in zip(ids.to_pylist(), local)}
+    for i, t in enumerate(texts):
+        assert got[i] == (4 if i < 4 else 2, [*(gru.word_hash(w.encode()) for w in (t or "").split()), 0])
+
+
 def _rules_by_brute_force(rows, sizes):
     from itertools import combinations
 
