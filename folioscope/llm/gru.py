@@ -80,7 +80,7 @@ def _exponentials(logits: np.ndarray, safe: bool) -> np.ndarray:
     if not safe:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    return logits.sum(axis=1)
+    return logits @ np.ones(logits.shape[1], logits.dtype)  # sums of short rows are slow otherwise
 
 
 def _safe(weights: np.ndarray, bias: np.ndarray) -> bool:
@@ -171,7 +171,7 @@ class Network:
             logits *= (1 / (n * total))[:, None]
             logits[at, y] -= np.float32(1 / n)
             grad["wc"] += states.T @ logits
-            grad["bc"] += logits.sum(axis=0)
+            grad["bc"] += np.ones(n, logits.dtype) @ logits
             back = logits @ self.p["wc"].T
         head = np.flatnonzero(y < HEAD_CLASSES)
         order = head[np.argsort(y[head].astype(np.int16), kind="stable")]
@@ -196,7 +196,7 @@ class Network:
                 w *= (1 / (n * sums))[:, None]
                 w[i, own[part]] -= np.float32(1 / n)
                 grad["wh"][words] += w.T @ s
-                grad["bh"][words] += w.sum(axis=0)
+                grad["bh"][words] += np.ones(m, w.dtype) @ w
                 pulled[part] = w @ wh
         out[order] += np.log(np.maximum(shares, 1e-30)) - v.within[ids[order]]
         if grad is not None:
@@ -252,7 +252,7 @@ class Network:
         order = np.argsort(inputs, kind="stable")
         first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
         by_input[inputs[order[first]]] = np.add.reduceat(flat[order], first, axis=0)
-        grad["bx"] += flat.sum(axis=0)
+        grad["bx"] += np.ones(len(flat), flat.dtype) @ flat
         grad["wx"] += self.p["e"].T @ by_input
         grad["e"] += by_input @ self.p["wx"].T
         return grad, last
