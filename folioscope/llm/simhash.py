@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, components, slices, staged, table
+from .common import OWN, as_bytes, components, marked, slices, staged, table
 
 SHINGLE, DISTANCE, PARTS = 3, 2, 3
 #: Near-duplicates by similarity: words a shingle and least Jaccard similarity.
@@ -260,7 +260,8 @@ def sketches(docs: DataFrame, wanted: DataFrame, shingle: int = WIDE) -> DataFra
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["node", "k", "n", "sketch"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("t")).join(wanted.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("t"))
+    texts = marked(texts, "node", wanted.select("node")).where(f"{OWN}maybe").join(wanted.select("node").distinct(), "node", "left_semi").select("node", "t")
     found = texts.mapInArrow(run, "node long, k long, n long, sketch binary").groupBy("node", "k").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     return found.join(wanted.select("node", "k").distinct(), ["node", "k"], "left_semi")
 
@@ -284,8 +285,9 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float = SIMILAR, shi
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     # texts stand once an id and different text, however often the row is repeated, and go once to each edge's end b and once to each a
-    need = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    need = staged(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    texts = marked(texts, "id", need).where(f"{OWN}maybe").select("id", "t")
     texts = staged(texts.join(need, "id", "left_semi").withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"]))
     pairs = edges.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
@@ -406,12 +408,18 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, b
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group of similar(): the one with the smallest doc_id (all rows of a null id, same texts once)."""
+    """One document of each group of similar(): the one with the smallest doc_id (all rows of a null id, same texts once).
+
+    Only ids that occur twice or are not kept need a join and a comparison of rows; rows of all others stay where they are.
+    """
     kept = staged(similar(docs, **how).where("node = component_id").select(F.col("node").alias(f"{OWN}id")).distinct())
     first = docs.withColumn(f"{OWN}d", F.col("doc_id").cast("long"))
-    # repeats go before the union: rows dealt by id for the join need not be dealt again by id and text
-    known = first.join(kept, F.col(f"{OWN}d") == F.col(f"{OWN}id"), "left_semi").dropDuplicates([f"{OWN}d", "text"])
-    return known.unionByName(first.where(F.col(f"{OWN}d").isNull()).dropDuplicates(["text"])).select(*docs.columns)
+    ids = first.where(F.col(f"{OWN}d").isNotNull()).groupBy(F.col(f"{OWN}d").alias("id")).agg(F.count("*").alias("n"))
+    doubtful = staged(ids.join(kept, F.col("id") == F.col(f"{OWN}id"), "left").where(f"n > 1 OR {OWN}id IS NULL").select("id"))
+    known = marked(first.where(F.col(f"{OWN}d").isNotNull()), f"{OWN}d", doubtful)
+    rest = known.where(f"{OWN}maybe").join(kept, F.col(f"{OWN}d") == F.col(f"{OWN}id"), "left_semi").dropDuplicates([f"{OWN}d", "text"])
+    out = known.where(f"NOT {OWN}maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return out.unionByName(first.where(F.col(f"{OWN}d").isNull()).dropDuplicates(["text"]).select(*docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

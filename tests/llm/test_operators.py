@@ -455,6 +455,29 @@ def test_mined_rules_against_brute_force(spark):
     assert ("p:a1", "p:b2") in got
 
 
+def test_rows_that_stay_are_not_moved(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.llm import common
+
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choice(NEAR_WORDS) for _ in range(40))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(20)] + [(5, "another text of five")] + rows[7:9] + [(None, "no id"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, F.spark_partition_id()).select("doc_id", "text")
+    out = [tuple(r) for r in simhash.deduplicated(common.staged(df)).collect()]
+    assert sorted(out, key=repr) == sorted({*rows[:300], (5, "another text of five"), (None, "no id"), (None, None)}, key=repr)
+    source = common.staged(df)
+    before = {r["doc_id"]: r["p"] for r in source.withColumn("p", F.spark_partition_id()).collect()}
+    after = {r["doc_id"]: r["p"] for r in simhash.deduplicated(source).withColumn("p", F.spark_partition_id()).collect()}
+    assert all(after[i] == before[i] for i in range(300) if i not in (5, 7, 8)) and len(set(before.values())) > 1
+    ids = spark.createDataFrame([(i,) for i in range(0, 5000, 7)] * 2, "x long")
+    got = {r["id"]: r["__fs_maybe"] for r in common.marked(spark.range(5000), "id", ids, 1 << 10).collect()}
+    assert all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 1000 and len(got) == 5000
+
+
+NEAR_WORDS = [f"word{i}" for i in range(500)]
+
+
 def test_segments_are_read_a_few_at_a_time(spark):
     import glob
 
