@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, join_small, nullable_key, slices, staged, table
+from .common import OWN, held, join_small, nullable_key, staged, table
 
 #: Shares given to the sources in order of name, repeating.
 WEIGHTS = (3, 1, 2)
@@ -16,19 +13,19 @@ WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2
 #: A rank is a long below 2**54; the threshold search reads 12 bits of it at a time.
 RANK_BITS, STEP, LEVELS = 54, 12, 3
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: White space as a character class, and as characters.
+_SPACE, _SPACES = "\\x20\\x09-\\x0D", " \t\n\x0b\f\r"
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each whole text (null: 0)."""
+def n_words(text: Column) -> Column:
+    """Words of a text, null: 0. One character is left of each word and the space after it, so no list of words is held."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{_SPACE}]+[{_SPACE}]*+", "w")
+    return F.length(F.ltrim(marks, F.lit(_SPACES))).cast("long")
 
-    def count(batches):
-        for b in slices(batches):
-            n = pa.array([len(t.split()) for t in as_bytes(b, "text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), n], names=["doc_id", "source", "size"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(count, "doc_id long, source string, size long")
+def word_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size: words of each whole text (null: 0)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
 
 
 def _level(over: list[str], amount: Column, cap: Column, weight: Column, tie: str) -> Column:
@@ -80,7 +77,7 @@ def shares(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, mos
     """
     t = source_targets(sizes, weights, total, most).withColumn(f"{OWN}s", nullable_key("source")).drop("source")
     c = sizes.groupBy(nullable_key("source").alias(f"{OWN}s"), length_class(F.col("size")).alias(f"{OWN}c")).agg(F.sum("size").cast("double").alias("words"))
-    c = staged(join_small(c, staged(t), [f"{OWN}s"]))
+    c = held(join_small(c, held(t), [f"{OWN}s"]))
     own = Window.partitionBy(f"{OWN}s")
     weight = F.col("words") * F.col(f"{OWN}c")
     live = c.where("words > 0").withColumn("level", _level([f"{OWN}s"], F.col("target"), F.col("words") * float(most), weight, f"{OWN}c"))
@@ -92,7 +89,7 @@ def shares(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, mos
     live = live.withColumn("rest", F.when(F.col("inclusion") > 0, F.greatest(F.lit(0), rest)).otherwise(F.lit(0)).cast("long"))
     empty = c.where("words <= 0").withColumns({"copies": F.lit(0), "inclusion": F.lit(0.0), "rest": F.lit(0)})
     names = [f"{OWN}s", f"{OWN}c", "source_size", "target", F.col("copies").cast("long").alias("copies"), "inclusion", F.col("rest").cast("long").alias("rest")]
-    return staged(live.select(*names).union(empty.select(*names)))
+    return held(live.select(*names).union(empty.select(*names)))
 
 
 def thresholds(sizes: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
@@ -111,7 +108,7 @@ def thresholds(sizes: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
         bins = live.groupBy(f"{OWN}s", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"), F.max("left").alias("left"))
         upto = F.sum("words").over(Window.partitionBy(f"{OWN}s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         at = bins.withColumn("upto", upto).where("upto >= left AND upto - words < left")
-        at = staged(at.select(f"{OWN}s", "bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), *[F.col("words").alias("bin_words")] * (level == LEVELS - 1)))
+        at = held(at.select(f"{OWN}s", "bin", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), *[F.col("words").alias("bin_words")] * (level == LEVELS - 1)))
     return at
 
 
@@ -138,18 +135,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: f
     doc_id hashes like a value. Empty texts take 0. Repeated rows count each and get equal parts.
     Empty tables give none. Extra columns are not read. Reruns agree: nothing depends on row order.
     """
-    d = staged(word_sizes(docs))
+    d = staged(word_sizes(docs), dealt=True)
     classes = shares(d, weights, total, most)
     out = with_taken(d, F.col("doc_id"), "source", F.col("size"), classes, thresholds(d, classes, seed), seed)
     return out.select("doc_id", "size", F.col(f"{OWN}source_size").alias("source_size"), F.col(f"{OWN}target").alias("target"), F.col(f"{OWN}taken").alias("taken"))
 
 
-def first_words(text: bytes, n: int) -> bytes:
-    """The text up to the end of its nth word, as it stands."""
-    for i, m in enumerate(_WORD.finditer(text), 1):
-        if i == n:
-            return text[:m.end()]
-    return text
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its nth word, as it stands: it is split where words end."""
+    return F.array_join(F.slice(F.split(text, f"(?<=[^{_SPACE}])(?=[{_SPACE}])", -1), F.lit(1), n.cast("int")), "")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 7) -> DataFrame:
@@ -158,30 +152,15 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TO
     Texts are read where they stand: only sums by source and length class are shuffled. Null texts and texts without words
     are never taken. Nulls otherwise, repeated rows and empty tables as in mix(); extra columns pass through.
     """
-    sizes = staged(word_sizes(docs))
+    sizes = staged(word_sizes(docs), dealt=True)
     classes = shares(sizes, weights, total, most)
     at = thresholds(sizes, classes, seed)
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def size(batches):
-        for b in slices(batches):
-            n = pa.array([len(x.split()) for x in as_bytes(b, "text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*names, f"{OWN}n"])
-
-    def cut(batches):
-        for b in slices(batches):
-            t = b.schema.get_field_index("text")
-            words = b.column(f"{OWN}words").to_pylist()
-            text = b.column(t)
-            if any(n is not None for n in words):
-                text = pa.array([x if n is None else first_words(x, n) for x, n in zip(as_bytes(b, "text"), words)], pa.binary()).cast(b.schema.field(t).type)
-            yield pa.RecordBatch.from_arrays([text if i == t else b.column(i) for i in range(len(names))], names=names)
-
-    d = with_taken(docs.mapInArrow(size, f"{schema}, {OWN}n long"), F.col("doc_id").cast("long"), "source", F.col(f"{OWN}n"), classes, at, seed).where(f"{OWN}taken > 0")
+    text = F.col("text").cast("string")
+    d = with_taken(docs.withColumn(f"{OWN}n", n_words(text)), F.col("doc_id").cast("long"), "source", F.col(f"{OWN}n"), classes, at, seed).where(f"{OWN}taken > 0")
     d = d.withColumn(f"{OWN}copy", F.explode(F.expr(f"sequence(1L, CAST(ceil({OWN}taken / {OWN}n) AS BIGINT))")))
     d = d.withColumn(f"{OWN}words", F.expr(f"CASE WHEN {OWN}copy * {OWN}n > {OWN}taken THEN {OWN}taken - ({OWN}copy - 1) * {OWN}n END"))
-    return d.select(*names, f"{OWN}words").mapInArrow(cut, schema)
+    cut = F.when(F.col(f"{OWN}words").isNull(), F.col("text")).otherwise(first_words(text, F.col(f"{OWN}words")).cast(docs.schema["text"].dataType))
+    return d.select(*[cut.alias(c) if c == "text" else c for c in docs.columns])
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -679,3 +679,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(r["length"] for r in seen["packing"]) == sum(len(packing.Encoder()(r["text"])) + 1 for r in seen["mix"])
     total = corpus_pipeline.run(spark, f"file://{d}")
     assert sorted(map(tuple, total.select("doc_id", "start", "length", "ids_crc32").collect()), key=repr) == sorted(((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in seen["packing"]), key=repr)
+
+
+def test_mix_counts_words_without_python_workers_and_stages_one_table(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from folioscope.llm import common
+
+    texts = [None, "", " \t\n", "a", " a\x0bb ", "\x1cé x 　 y\x0c\r", "𝄞 𝄞\n\n𝄞", " " * 5000 + "z" * 70_000 + " " * 5000, LONG, "\x00 \x1f a"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    sizes = {r["doc_id"]: r["size"] for r in mixing.word_sizes(df).collect()}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    ends = [[m.end() for m in word.finditer(t or "")] for t in texts]
+    assert [sizes[i] for i in range(len(texts))] == [len(e) for e in ends]
+    asked = [(t, n, t[:e[min(n, len(e)) - 1]]) for t, e in zip(texts, ends) if e for n in {1, (len(e) + 1) // 2, len(e)}]
+    got = spark.createDataFrame(asked, "t string, n long, want string").select("want", mixing.first_words(F.col("t"), F.col("n")).alias("got")).collect()
+    assert len(got) == len(asked) and all(r["want"] == r["got"] for r in got)
+    mark = common.staged_so_far()
+    plan = mixing.mix(df)._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    assert common.staged_so_far() - mark == 1
+
+
+def test_held_tables_keep_their_rows_however_many(spark):
+    from folioscope.llm import common
+
+    df = spark.range(25).selectExpr("id", "IF(id % 3 = 0, null, id / 7) x", "IF(id % 2 = 0, null, concat('s', id)) s")
+    want = sorted(map(str, df.collect()))
+    for limit, files in ((25, 0), (24, 1), (0, 1)):
+        mark = common.staged_so_far()
+        assert sorted(map(str, common.held(df, limit).collect())) == want and common.staged_so_far() - mark == files
+    assert common.held(df.where("id < 0")).count() == 0
