@@ -712,3 +712,15 @@ def test_held_tables_keep_their_rows_however_many(spark):
         mark = common.staged_so_far()
         assert sorted(map(str, common.held(df, limit).collect())) == want and common.staged_so_far() - mark == files
     assert common.held(df.where("id < 0")).count() == 0
+
+
+def test_the_mix_stage_needs_no_python_workers_and_stages_one_table(spark):
+    import corpus_pipeline
+    from folioscope.llm import common
+
+    df = spark.createDataFrame([(i, "a b  c " * (i % 5), "en", "s" if i % 2 else None, 0) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    mark = common.staged_so_far()
+    out = corpus_pipeline.mix(spark, df, "")
+    plan = out._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and common.staged_so_far() - mark == 1
+    assert out.columns == df.columns and all(r["n_chars"] == len(r["text"]) > 0 for r in out.collect())
