@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, as_bytes, join_small, nullable_key, slices, staged, table
+from .common import OWN, as_bytes, held, join_small, nullable_key, slices, staged, table
 
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Share of a group that the smallest-determinant subset holds, and its consistency factor for 4 dimensions:
@@ -131,21 +131,21 @@ def covariance_estimates(vectors: DataFrame, steps: int = STEPS, share: float =
                                               *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)])
         return sums.mapInPandas(_inverted, "g string, start int, " + ", ".join(f"{c} double" for c in _PARAMS[1:]))
 
-    med = staged(vectors.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs)]))
+    med = held(vectors.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs)]))
     dev = join_small(vectors, med, ["g"]).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i, x in enumerate(xs)])
-    dev = staged(dev)
+    dev = held(dev)
     starts = estimated(vectors.withColumn("start", F.lit(2))).select(*names)
     for start, own in ((0, True), (1, False)):
         scale = [1 / ((F.pow(F.col(f"d{i}") * 1.4826, 2) if own else F.lit(0.0)) + f * f) for i, f in enumerate(FLOORS)]
         diagonal = [(scale[i] if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in range(P) for j in range(i, P)]
         starts = starts.union(dev.select("g", F.lit(start).alias("start"), *[f"m{i}" for i in range(P)], *diagonal, F.lit(0.0).alias("logdet")))
-    params = staged(starts)
+    params = held(starts)
     for _ in range(steps):
         far = join_small(vectors, params, ["g"], "inner").withColumn("far", _distance()).select("g", "start", "far", *xs)
-        cut = staged(far.groupBy("g", "start").agg(F.percentile_approx("far", share, 10_000).alias("cut")))
-        params = staged(estimated(join_small(far, cut, ["g", "start"]).where("far <= cut")))
+        cut = held(far.groupBy("g", "start").agg(F.percentile_approx("far", share, 10_000).alias("cut")))
+        params = held(estimated(join_small(far, cut, ["g", "start"]).where("far <= cut")))
     best = params.groupBy("g").agg(F.min_by(F.struct(*_PARAMS[1:]), F.struct("logdet", "start")).alias("p"))
-    return staged(best.select("g", "p.*"))
+    return held(best.select("g", "p.*"))
 
 
 def judge(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP, **how) -> DataFrame:
@@ -162,16 +162,16 @@ def judge(docs: DataFrame, cut: float = CUT, least_group: int = LEAST_GROUP, **h
     """
     d = statistics(docs).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
     d = d.select("*", *[x.alias(f"x{i}") for i, x in enumerate(transformed())])
-    d = staged(d.withColumn(f"{OWN}l", nullable_key("lang")).withColumn("g", F.concat(f"{OWN}l", F.lit("\u0001"), nullable_key("source"))))
-    n = staged(d.where("NOT base_failed").groupBy("g", f"{OWN}l").agg(F.count("*").alias("n")))
+    d = staged(d.withColumn(f"{OWN}l", nullable_key("lang")).withColumn("g", F.concat(f"{OWN}l", F.lit("\u0001"), nullable_key("source"))), dealt=True)
+    n = held(d.where("NOT base_failed").groupBy("g", f"{OWN}l").agg(F.count("*").alias("n")))
     langs = n.groupBy(f"{OWN}l").agg(F.sum("n").alias("n_lang"))
-    to = staged(n.join(langs, f"{OWN}l").select("g", F.when(F.col("n") >= least_group, F.col("g")).when(F.col("n_lang") >= least_group, F.col(f"{OWN}l")).alias("to")))
+    to = held(n.join(langs, f"{OWN}l").select("g", F.when(F.col("n") >= least_group, F.col("g")).when(F.col("n_lang") >= least_group, F.col(f"{OWN}l")).alias("to")))
     levels = [F.col("g"), F.col(f"{OWN}l"), F.lit("all")]
     xs = [f"x{i}" for i in range(P)]
     d = join_small(d, to, ["g"]).withColumn("to", F.coalesce("to", F.lit("all")))
     # a group's own estimate, its language's and that of all: a level is estimated where it is used, from all its rows
     ok = d.where("NOT base_failed")
-    used = staged(to.select(F.coalesce("to", F.lit("all")).alias("g")).distinct())
+    used = held(to.select(F.coalesce("to", F.lit("all")).alias("g")).distinct())
     rows = ok.select(F.explode(F.array(*levels)).alias("g"), *xs)
     params = covariance_estimates(staged(join_small(rows, used, ["g"], "left_semi")), **how)
     d = join_small(d.drop("g").withColumnRenamed("to", "g"), params, ["g"])

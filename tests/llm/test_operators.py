@@ -724,3 +724,12 @@ def test_the_mix_stage_needs_no_python_workers_and_stages_one_table(spark):
     plan = out._jdf.queryExecution().toString()
     assert "InArrow" not in plan and common.staged_so_far() - mark == 1
     assert out.columns == df.columns and all(r["n_chars"] == len(r["text"]) > 0 for r in out.collect())
+
+
+def test_outliers_stage_nothing_but_texts_statistics_and_vectors(spark):
+    from folioscope.llm import common
+
+    df = spark.createDataFrame([(i, f"alpha{i} beta{i % 7} gamma " * 8 if i % 9 else None, "en" if i % 2 else None, f"s{i % 3}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    mark = common.staged_so_far()
+    got = outliers.judge(df, least_group=10)
+    assert common.staged_so_far() - mark == 2 and got.count() == 60
