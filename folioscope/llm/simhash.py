@@ -17,8 +17,8 @@ SHINGLE, DISTANCE, PARTS = 3, 2, 3
 WIDE, SIMILAR = 5, 0.8
 #: Minima a band and bands. Texts of similarity 0.8 share a band with probability 0.9995.
 BAND, BANDS = 6, 25
-#: Members a block of a bucket, and residue classes in which a text's shingles are counted.
-BLOCK, CLASSES = 256, 256
+#: Members of a bucket that are compared in one cell at least, members of a side up to which a cell grows with its bucket, and residue classes in which a text's shingles are counted.
+BLOCK, SIDE, CLASSES = 256, 4096, 256
 BUCKET_KEY = ["key", "i", "j"]
 #: Buckets of up to so many fingerprints are compared inside; larger ones go through one-bit neighbours.
 BUCKET = 256
@@ -300,30 +300,51 @@ def open_buckets(left: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(mixed.select("key"), "key", "left_semi")
 
 
+def cells(left: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """key, i, j, own, node, label: the members of open buckets, dealt so that each two of a bucket with different labels meet in one cell (key, i, j).
+
+    Members of a bucket's most frequent label need no comparison with each other: they are dealt to strips (own -1), the
+    others to tiles (own is the tile). A tile meets each strip (i, j >= 0), itself in the first of them, and each other
+    tile (j < 0). Of m members s have other labels; strips and tiles are as long as s, so up to s = SIDE a bucket makes 2 m rows
+    at most. Beyond that their length grows with the root of s, and rows a member with the other root of it.
+    """
+    rows = left.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("top"))
+    s = F.col("m") - F.col("c")
+    sizes = sizes.withColumn("side", F.greatest(F.lit(block), F.least(s, F.ceil(F.sqrt(s * SIDE)))))
+    sizes = sizes.select("key", "top", F.ceil(F.col("c") / F.col("side")).cast("int").alias("strips"), F.greatest(F.lit(1), F.ceil(s / F.col("side"))).cast("int").alias("tiles"))
+    rows = rows.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("strip", F.pmod(F.xxhash64("node"), "strips").cast("int"))
+    cell = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.transform(up_to("tiles"), lambda t: cell(t, F.col("strip")))
+    along = F.transform(up_to("strips"), lambda p: cell(F.col("tile"), p))
+    others = F.filter(up_to("tiles"), lambda t: t != F.col("tile"))
+    along = F.concat(along, F.transform(others, lambda t: cell(F.least(t, "tile"), -1 - F.greatest(t, "tile"))))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("label") == F.col("top"), across).otherwise(along)))
+    return rows.select("key", "cell.i", "cell.j", F.when(F.col("label") == F.col("top"), -1).otherwise(F.col("tile")).cast("long").alias("own"), "node", "label")
+
+
 def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: DataFrame, most: int, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) of nodes of one open bucket but different labels, not decided yet, that can be so similar.
+    """Pairs (a, b) of nodes of one open bucket but different labels, not decided yet, that can be so similar; more: whether their cell has others.
 
     Two sets share at most the sum of the lesser of their counts by residue class, so no pair
-    that is left out is similar. Buckets are compared in pairs of blocks; in each, the `most` likeliest pairs of
+    that is left out is similar. Buckets are compared in cells; in each, the `most` likeliest pairs of
     two labels are given.
     """
-    named = sketched.select("node", "n", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     missed = decided.where("NOT ok").groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("missed"))
-    counts = left.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = left.join(counts, "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
-    rows = rows.join(named, "node").join(missed, "node", "left")
+    rows = cells(left, labels, block).join(sketched.select("node", "n", "sketch"), "node").join(missed, "node", "left")
 
     def compare(x: pa.Table):
+        x = x.sort_by([("own", "descending")])
         node, n, label, own = (x.column(c).to_numpy() for c in ("node", "n", "label", "own"))
-        inside = x.column("i")[0].as_py() == x.column("j")[0].as_py()
+        inside = x.column("j")[0].as_py() == 0
         if len(node) < 2 or (label == label[0]).all():
             return []
         counts = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.int32).reshape(-1, CLASSES)
         not_again = [frozenset(m or ()) for m in x.column("missed").to_pylist()]
         found = []
-        for at in range(len(node) - 1):
+        for at in range(min(len(node) - 1, int((own >= 0).sum()))):
             to = np.arange(at + 1, len(node))
             to = to[(label[to] != label[at]) & (inside | (own[to] != own[at])) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))]
             both = np.minimum(counts[at], counts[to]).sum(axis=1, dtype=np.int64)
@@ -338,7 +359,10 @@ def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: D
             given[tuple(pair)] = given.get(tuple(pair), 0) + 1
             if given[tuple(pair)] <= most:
                 out.append((a, b))
-        return out
+        return [(*p, len(out) < len(found)) for p in out]
+
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
 
     def run(batches):
         held: list = []
@@ -355,12 +379,12 @@ def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: D
                     held = []
                 held.append(batch.slice(s, e - s))
                 last = tuple(keys[s])
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        pairs = compare(pa.Table.from_batches(held).combine_chunks()) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield batch_of(pairs)
+        yield batch_of(compare(pa.Table.from_batches(held).combine_chunks()) if held else [])
 
-    rows = rows.select(*[F.col(c).cast("long").alias(c) for c in (*BUCKET_KEY, "own")], "node", "n", "label", "sketch", "missed")
-    return rows.repartition(*BUCKET_KEY).sortWithinPartitions(*BUCKET_KEY).mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select(*BUCKET_KEY, "own", "node", "n", "label", "sketch", "missed")
+    found = rows.repartition(*BUCKET_KEY).sortWithinPartitions(*BUCKET_KEY).mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, block: int = BLOCK) -> DataFrame:
@@ -396,13 +420,16 @@ def similar(docs: DataFrame, similarity: float = SIMILAR, shingle: int = WIDE, b
     most = 1
     while True:
         edges = staged(unlinked(left, sketched, labels, decided, most, similarity, block))
-        if edges.isEmpty():
+        more = edges.agg(F.max("more")).first()[0]
+        if more is None:
             break
-        new = staged(verified(edges, docs, similarity, shingle))
+        new = staged(verified(edges.select("a", "b"), docs, similarity, shingle))
         decided = decided.union(new)
         if not new.where("ok").isEmpty():
             labels = staged(components(decided.where("ok").select("a", "b")))
             left = staged(open_buckets(left, labels))
+        if not more:  # every pair that can be similar was given
+            break
         most *= 64
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component_id"))
 
