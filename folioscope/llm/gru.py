@@ -25,8 +25,8 @@ LANES, MOST_LANES, BATCHES = 16, 256, 64
 RATE = 6e-3
 #: Logits below this need no maximum taken out before exp() in single precision.
 SAFE = 80.0
-#: Lanes, tokens a window and tokens held at a time when scoring; softmaxes run over ROWS states at a time.
-SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS, ROWS = 256, 96, 500_000, 4096
+#: Lanes, tokens a window and tokens held at a time when scoring; softmaxes over classes run over ROWS states at a time, which the cache holds.
+SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS, ROWS = 256, 96, 500_000, 512
 
 HEAD_CLASSES = HEAD // MEMBERS
 RARE_CLASS, END_CLASS = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES + TAIL_CLASSES + 1
@@ -126,21 +126,22 @@ class Network:
         m = HIDDEN
         u = np.ascontiguousarray(self.p["u"].T)
         u[:2 * m] *= 0.5
-        a = np.ascontiguousarray(projected[x].transpose(0, 2, 1))
+        whole = np.ones(len(x), bool) if keep is None else keep.all(axis=1)
         out = np.empty((len(x), m, len(h)), np.float32)
         h = np.ascontiguousarray(h.T)
         for t in range(len(x)):
-            if keep is not None:
+            if not whole[t]:
                 h = h * keep[t]
             g = u @ h
-            gates = a[t, :2 * m]
+            a = np.ascontiguousarray(projected.take(x[t], axis=0).T)  # a step at a time stays in the cache
+            gates = a[:2 * m]
             gates += g[:2 * m]
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
             r, z = gates[:m], gates[m:]
             c = r * g[2 * m:]
-            c += a[t, 2 * m:]
+            c += a[2 * m:]
             np.tanh(c, out=c)
             if trace is not None:
                 trace.append((h, g[2 * m:], r, z, c))
@@ -158,46 +159,59 @@ class Network:
         return out
 
     def log_probability(self, states: np.ndarray, ids: np.ndarray, v: Vocabulary, grad: dict | None = None):
-        """Natural log P of ids (N) from states (N, HIDDEN); with grad also d loss / d states."""
+        """Natural log P of ids (N) from N states (..., HIDDEN); with grad also d loss / d states (N, HIDDEN)."""
         y = v.class_of[ids]
         n = len(ids)
-        at = np.arange(n)
-        logits = states @ self.p["wc"]
-        logits += self.p["bc"]
-        total = _exponentials(logits, _safe(self.p["wc"].T, self.p["bc"]))
-        out = np.log(logits[at, y] / total) + v.within[ids]
-        back = None
-        if grad is not None:
-            logits *= (1 / (n * total))[:, None]
-            logits[at, y] -= np.float32(1 / n)
-            grad["wc"] += states.T @ logits
-            grad["bc"] += np.ones(n, logits.dtype) @ logits
-            back = logits @ self.p["wc"].T
+        own = np.empty((*states.shape[:-1], HIDDEN + 1), states.dtype)  # a last column of ones takes the biases along
+        own[..., :HIDDEN] = states
+        own[..., HIDDEN] = 1
+        own = own.reshape(n, HIDDEN + 1)
+        wc = np.vstack([self.p["wc"], self.p["bc"]])
+        safe = _safe(self.p["wc"].T, self.p["bc"])
+        shares = np.empty(n, states.dtype)
+        back = None if grad is None else np.empty((n, HIDDEN), states.dtype)
+        firsts = np.arange(ROWS) * CLASSES
+        for s in range(0, n, ROWS):
+            rows = own[s:s + ROWS]
+            logits = rows @ wc
+            total = _exponentials(logits, safe)
+            flat, at = logits.reshape(-1), firsts[:len(rows)] + y[s:s + ROWS]
+            shares[s:s + ROWS] = flat[at] / total
+            if grad is not None:
+                logits *= (1 / (n * total))[:, None]
+                flat[at] -= np.float32(1 / n)
+                pull = rows.T @ logits
+                grad["wc"] += pull[:HIDDEN]
+                grad["bc"] += pull[HIDDEN]
+                np.matmul(logits, self.p["wc"].T, out=back[s:s + ROWS])
+        out = np.log(shares) + v.within[ids]
         head = np.flatnonzero(y < HEAD_CLASSES)
-        order = head[np.argsort(y[head].astype(np.int16), kind="stable")]
+        order = head[np.argsort(y[head].astype(np.uint8), kind="stable")]
         cuts = np.searchsorted(y[order], np.arange(HEAD_CLASSES + 1))
-        ordered, own = states[order], ids[order] % MEMBERS
+        ordered, member = own.take(order, axis=0), ids[order] % MEMBERS
         shares = np.empty(len(order))
-        pulled = np.empty_like(ordered)
+        pulled = None if grad is None else np.empty((len(order), HIDDEN), states.dtype)
+        wh = np.hstack([self.p["wh"], self.p["bh"][:, None]])
         safe = _safe(self.p["wh"], self.p["bh"])
+        firsts = np.arange(np.diff(cuts).max(initial=0)) * MEMBERS
         for k in range(HEAD_CLASSES):
             part = slice(cuts[k], cuts[k + 1])
             m = part.stop - part.start
             if not m:
                 continue
             words = slice(k * MEMBERS, (k + 1) * MEMBERS)
-            s, wh = ordered[part], self.p["wh"][words]
-            w = s @ wh.T
-            w += self.p["bh"][words]
+            rows = ordered[part]
+            w = rows @ wh[words].T
             sums = _exponentials(w, safe)
-            i = np.arange(m)
-            shares[part] = w[i, own[part]] / sums
+            flat, at = w.reshape(-1), firsts[:m] + member[part]
+            shares[part] = flat[at] / sums
             if grad is not None:
                 w *= (1 / (n * sums))[:, None]
-                w[i, own[part]] -= np.float32(1 / n)
-                grad["wh"][words] += w.T @ s
-                grad["bh"][words] += np.ones(m, w.dtype) @ w
-                pulled[part] = w @ wh
+                flat[at] -= np.float32(1 / n)
+                pull = w.T @ rows
+                grad["wh"][words] += pull[:, :HIDDEN]
+                grad["bh"][words] += pull[:, HIDDEN]
+                np.matmul(w, self.p["wh"][words], out=pulled[part])
         out[order] += np.log(np.maximum(shares, 1e-30)) - v.within[ids[order]]
         if grad is not None:
             back[order] += pulled
@@ -210,18 +224,18 @@ class Network:
         projected = self.project()
         states, last = self.forward(x, h, keep, projected, trace)
         t_n, b_n, m = states.shape
-        states = np.ascontiguousarray(states)
-        real = ids.reshape(-1) >= 0
+        real = ids >= 0
         if real.all():
-            back = self.log_probability(states.reshape(-1, m), ids.reshape(-1), v, grad)[1]
+            back = self.log_probability(states, ids.reshape(-1), v, grad)[1]
         else:
             back = np.zeros((t_n * b_n, m), np.float32)
-            back[real] = self.log_probability(states.reshape(-1, m)[real], ids.reshape(-1)[real], v, grad)[1]
+            back[real.reshape(-1)] = self.log_probability(states[real], ids[real], v, grad)[1]
         back = np.ascontiguousarray(back.reshape(t_n, b_n, m).transpose(0, 2, 1))
         da = np.empty((t_n, 3 * m, b_n), np.float32)
         dh = np.zeros((m, b_n), np.float32)
         dg = np.empty((3 * m, b_n), np.float32)
         u = self.p["u"]
+        whole = keep.all(axis=1)
         for t in range(t_n - 1, -1, -1):
             prev, g, r, z, c = trace[t]
             dh += back[t]
@@ -244,17 +258,17 @@ class Network:
             grad["u"] += prev @ dg.T
             dh *= z
             dh += u @ dg
-            dh *= keep[t]
-        da = np.ascontiguousarray(da.transpose(0, 2, 1))
-        flat = da.reshape(-1, 3 * m)
-        by_input = np.zeros((HEAD + CLASSES, 3 * m), np.float32)
+            if not whole[t]:
+                dh *= keep[t]
+        pull = np.matmul(da.transpose(0, 2, 1), self.p["wx"].T).reshape(-1, m)
         inputs = x.reshape(-1).astype(np.int16)
         order = np.argsort(inputs, kind="stable")
         first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
-        by_input[inputs[order[first]]] = np.add.reduceat(flat[order], first, axis=0)
-        grad["bx"] += np.ones(len(flat), flat.dtype) @ flat
-        grad["wx"] += self.p["e"].T @ by_input
-        grad["e"] += by_input @ self.p["wx"].T
+        grad["e"][inputs[order[first]]] = np.add.reduceat(pull.take(order, axis=0), first, axis=0)
+        e = np.hstack([self.p["e"], np.ones((HEAD + CLASSES, 1), np.float32)])  # the last column is the bias's
+        pull = np.matmul(da, e.take(x, axis=0)).sum(axis=0)
+        grad["wx"] += pull[:, :m].T
+        grad["bx"] += pull[:, m]
         return grad, last
 
 
@@ -335,9 +349,10 @@ def score_documents(net: Network, documents: list[np.ndarray], v: Vocabulary, la
         before = np.vstack([last[None, :live], safe[:-1]])
         states, h_new = net.forward(v.input_of[before], h[:live], (before != end).astype(np.float32), projected)
         h[:live], last[:live] = h_new, safe[-1]
-        states, wanted, doc = states[real], ids[real], doc.T[real]
-        logp = [net.log_probability(states[i:i + ROWS], wanted[i:i + ROWS], v)[0] for i in range(0, len(wanted), ROWS)]
-        out += np.bincount(doc, np.concatenate(logp), len(documents))
+        wanted = ids[real]
+        if len(wanted) < ids.size:
+            states = states[real]
+        out += np.bincount(doc.T[real], net.log_probability(states, wanted, v)[0], len(documents))
     return out / _LN10
 
 

@@ -784,3 +784,41 @@ def test_few_others_in_a_large_bucket_lose_no_pair(spark, monkeypatch):
         got = {r["node"]: r["component_id"] for r in simhash.similar(df, block=8).collect()}
         assert [(i, j) for i, j in want if got[i] != got[j]] == []
         assert len(set(got.values())) >= 20
+
+
+def test_softmaxes_run_over_few_states_and_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    counts = np.sort(rng.integers(2, 400, 3000))[::-1]
+    v = gru.Vocabulary(np.arange(3000), counts, 50, int(counts.sum()) + 90, 3041)
+    net = gru.Network.initial(v)
+    net.flat += rng.normal(0, 0.05, net.flat.shape).astype(np.float32)
+    ids = rng.integers(0, v.n + 2, (gru.WINDOW, 64))
+    before = np.vstack([np.full((1, 64), v.n + 1), ids[:-1]])
+    ids[20:, :5] = -1  # padding
+    seen = []
+    plain = gru._exponentials
+    monkeypatch.setattr(gru, "_exponentials", lambda logits, safe: seen.append(logits.shape) or plain(logits, safe))
+    x, keep = v.input_of[before], (before != v.n + 1).astype(np.float32)
+    h = np.zeros((64, gru.HIDDEN), np.float32)
+    grad, _ = net.gradients(x, ids, h, keep, v)
+    assert max(n for n, width in seen if width == gru.CLASSES) <= 512  # all 1,988 at once before
+    states, _ = net.forward(x, h, keep, net.project())
+    real = ids >= 0
+    s, want, by_class = states[real].astype(np.float64), ids[real], np.zeros((gru.HIDDEN, gru.CLASSES))
+    logits = s @ net.p["wc"] + net.p["bc"]
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    expected = []
+    for state, i, c in zip(s, want, p):
+        k = v.class_of[i]
+        by_class += np.outer(state, (c - np.eye(gru.CLASSES)[k]) / len(want))
+        within = v.within[i]
+        if k < gru.HEAD_CLASSES:
+            words = slice(k * gru.MEMBERS, (k + 1) * gru.MEMBERS)
+            one = net.p["wh"][words] @ state + net.p["bh"][words]
+            within = one[i % gru.MEMBERS] - np.log(np.exp(one).sum())
+        expected.append(np.log(c[k]) + within)
+    for given in (states[real], states[real][None]):
+        assert np.allclose(net.log_probability(given, want, v)[0], expected, atol=1e-4)
+    assert np.allclose(grad["wc"], by_class, atol=1e-5)
+    by_input = {i for i in np.unique(x[:20]).tolist()}
+    assert all(np.abs(grad["e"][i]).max() > 0 for i in by_input) and not np.abs(np.delete(grad["e"], np.unique(x), axis=0)).any()
