@@ -18,7 +18,7 @@ WIDE, SIMILAR = 5, 0.8
 #: Minima a band and bands. Texts of similarity 0.8 share a band with probability 0.9995.
 BAND, BANDS = 6, 25
 #: Members of a bucket that are compared in one cell at least, members of a side up to which a cell grows with its bucket, and residue classes in which a text's shingles are counted.
-BLOCK, SIDE, CLASSES = 256, 4096, 256
+BLOCK, SIDE, CLASSES = 256, 2048, 256
 BUCKET_KEY = ["key", "i", "j"]
 #: Buckets of up to so many fingerprints are compared inside; larger ones go through one-bit neighbours.
 BUCKET = 256
@@ -332,37 +332,49 @@ def unlinked(left: DataFrame, sketched: DataFrame, labels: DataFrame, decided: D
     that is left out is similar. Buckets are compared in cells; in each, the `most` likeliest pairs of
     two labels are given.
     """
-    missed = decided.where("NOT ok").groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("missed"))
+    missed = decided.where("NOT ok").select(F.explode(F.array(F.struct(F.col("a").alias("node"), "b"), F.struct(F.col("b").alias("node"), F.col("a").alias("b")))).alias("p"))
+    missed = missed.groupBy("p.node").agg(F.collect_set("p.b").alias("missed"))
     rows = cells(left, labels, block).join(sketched.select("node", "n", "sketch"), "node").join(missed, "node", "left")
 
     def compare(x: pa.Table):
-        x = x.sort_by([("own", "descending")])
         node, n, label, own = (x.column(c).to_numpy() for c in ("node", "n", "label", "own"))
         inside = x.column("j")[0].as_py() == 0
         if len(node) < 2 or (label == label[0]).all():
             return []
-        counts = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.int32).reshape(-1, CLASSES)
-        not_again = [frozenset(m or ()) for m in x.column("missed").to_pylist()]
-        found = []
-        for at in range(min(len(node) - 1, int((own >= 0).sum()))):
-            to = np.arange(at + 1, len(node))
-            to = to[(label[to] != label[at]) & (inside | (own[to] != own[at])) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))]
-            both = np.minimum(counts[at], counts[to]).sum(axis=1, dtype=np.int64)
-            share = both / np.maximum(n[to] + n[at] - both, 1)
-            for b, s in zip(to[both >= similarity * (n[to] + n[at] - both)], share[both >= similarity * (n[to] + n[at] - both)]):
-                low, high = (at, b) if node[at] < node[b] else (b, at)
-                if int(node[high]) not in not_again[low]:
-                    found.append((-s, int(node[low]), int(node[high]), *sorted((int(label[at]), int(label[b])))))
-        given: dict = {}
-        out = []
-        for _, a, b, *pair in sorted(found):
-            given[tuple(pair)] = given.get(tuple(pair), 0) + 1
-            if given[tuple(pair)] <= most:
-                out.append((a, b))
-        return [(*p, len(out) < len(found)) for p in out]
+        order = np.lexsort((label, own < 0))  # by label, the most frequent one last: it has no later one to meet
+        counts = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.int32).reshape(-1, CLASSES)[order]
+        not_again = x.column("missed").take(pa.array(order)).to_pylist()
+        node, n, label, own = (c[order] for c in (node, n, label, own))
+        cuts = [*np.flatnonzero(np.append(True, label[1:] != label[:-1])).tolist(), len(node)]
+        out, more = [], False
+        for start, end in zip(cuts, cuts[1:]):  # all pairs of two labels are found with the first of them, so no more are held at a time
+            if own[start] < 0:
+                break
+            found = []
+            for at in range(start, end):
+                to = np.arange(end, len(node))
+                to = to[(inside | (own[to] != own[at])) & (np.minimum(n[to], n[at]) >= similarity * np.maximum(n[to], n[at]))]
+                both = np.minimum(counts[at], counts[to]).sum(axis=1, dtype=np.int64)
+                fit = both >= similarity * (n[to] + n[at] - both)
+                if not_again[at]:
+                    fit &= ~np.isin(node[to], not_again[at])
+                to, both = to[fit], both[fit]
+                found.append((np.full(len(to), at), to, both / np.maximum(n[to] + n[at] - both, 1)))
+            at, to, share = (np.concatenate(c) for c in zip(*found))
+            if not len(at):
+                continue
+            low, high = np.minimum(node[at], node[to]), np.maximum(node[at], node[to])
+            order = np.lexsort((high, low, -share, label[to]))
+            other = label[to][order]
+            first = np.flatnonzero(np.append(True, other[1:] != other[:-1]))
+            given = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < most]
+            more |= len(given) < len(order)
+            out.append((low[given], high[given]))
+        return [(a, b, np.full(len(a), more)) for a, b in out]
 
     def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
+        found = zip(*pairs) if pairs else [[np.zeros(0)]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(found, (np.int64, np.int64, bool))], names=["a", "b", "more"])
 
     def run(batches):
         held: list = []
